@@ -17,16 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, as the session's checkpoint folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that is
-    unset (tests, a laptop) a folder of this machine is chosen.
+    Only where that is unset (tests, a laptop) a folder of this machine is chosen.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the reliable checkpoint folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
