@@ -18,8 +18,8 @@ UNITS = {
 
 
 def column(c: ColumnLike) -> Column:
-    """A column by name, or as it is."""
-    return F.col(c) if isinstance(c, str) else c
+    """A column as it is, or from its name or a SQL expression."""
+    return F.expr(c) if isinstance(c, str) else c
 
 
 def truth(c: ColumnLike) -> Column:

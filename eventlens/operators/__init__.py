@@ -1,5 +1,6 @@
 """Operators on whole DataFrames."""
 
 from eventlens.operators.sessionize import session_count, sessionize
+from eventlens.operators.streamed import large_chain_count, large_funnel
 
-__all__ = ["session_count", "sessionize"]
+__all__ = ["large_chain_count", "large_funnel", "session_count", "sessionize"]

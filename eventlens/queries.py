@@ -30,14 +30,10 @@ def add(name: str, sql: str, query: Callable[[DataFrame], DataFrame]) -> None:
     ORACLES[name] = sql
 
 
-def on(kind: str):
-    return F.col("event_type") == kind
-
-
-VIEW, CLICK, BUY, SIGNUP, ERROR = map(on, ("view", "click", "purchase", "signup", "error"))
+#: Conditions on one event type each, as SQL.
+VIEW, CLICK, BUY, SIGNUP, ERROR = (f"event_type = '{kind}'" for kind in ("view", "click", "purchase", "signup", "error"))
 #: Conditions that overlap, so that one event can satisfy several.
-WIDE = (F.col("event_type").isin("view", "click"), F.col("event_type").isin("click", "purchase"), F.col("value") > 40)
-WIDE_SQL = ("event_type IN ('view','click')", "event_type IN ('click','purchase')", "value > 40")
+WIDE = ("event_type IN ('view','click')", "event_type IN ('click','purchase')", "value > 40")
 
 # --- sessions -------------------------------------------------------------------------
 SESSIONS = """
@@ -80,7 +76,7 @@ add(
     "retention",
     """SELECT user_id, [a, a AND bool_or(value > 200), a AND bool_or(event_type = 'none'), a AND bool_or(event_type = 'signup' AND value < 5)] AS r
        FROM (SELECT *, bool_or(event_type = 'purchase' AND value > 50) OVER (PARTITION BY user_id) AS a FROM events) GROUP BY user_id, a""",
-    lambda e: e.groupBy("user_id").agg(E.retention(BUY & (F.col("value") > 50), F.col("value") > 200, on("none"), SIGNUP & (F.col("value") < 5)).alias("r")),
+    lambda e: e.groupBy("user_id").agg(E.retention(f"{BUY} AND value > 50", "value > 200", "event_type = 'none'", f"{SIGNUP} AND value < 5").alias("r")),
 )
 add("retention_empty", "SELECT CAST([] AS BOOLEAN[]) AS r", lambda e: e.where("false").agg(E.retention(VIEW, BUY).alias("r")))
 COHORT = "WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, MIN(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS cohort, user_id % 3 AS segment FROM events)"
@@ -137,7 +133,7 @@ add(
 
 def walk_sql(modes: Mode) -> str:
     """A walk from each entry, event by event, for three overlapping conditions and two days."""
-    bits = " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate(WIDE_SQL))
+    bits = " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate(WIDE))
     nxt = "((m >> step) & 1) = 1"
     climbed = f"CASE WHEN NOT {nxt} THEN step WHEN step = 1 AND (m & 4) > 0 THEN 3 ELSE step + 1 END"
     if modes & Mode.STRICT_ONCE:
@@ -239,7 +235,7 @@ WITH o AS (SELECT *, LEAD(props) OVER w AS nxt, LAG(props) OVER w AS prv FROM (S
            WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT * FROM o WHERE event_type IN ('purchase', 'signup'))
 """
-_PROPS = F.nullif(F.col("props"), F.lit('{"k": 7}'))
+_PROPS, _BASE = """nullif(props, '{"k": 7}')""", f"{BUY} OR {SIGNUP}"
 for _way, _col in (("forward", "nxt"), ("backward", "prv")):
     for _base in ("head", "tail", "first_match", "last_match"):
         _first = _base == "head" or _base != "tail" and (_way == "forward") == (_base == "first_match")
@@ -249,7 +245,7 @@ for _way, _col in (("forward", "nxt"), ("backward", "prv")):
             f"next_node_{_way}_{_base}",
             NEIGHBOURS + f"""SELECT u.user_id, CASE WHEN f.event_type = 'purchase' THEN f.{_col} END AS node FROM (SELECT DISTINCT user_id FROM events) u
                 LEFT JOIN (SELECT * FROM b {_where} QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts {_pick}) = 1) f USING (user_id)""",
-            lambda e, w=_way, b=_base: e.groupBy("user_id").agg(E.sequence_next_node(w, b, "ts", _PROPS, BUY | SIGNUP, BUY).alias("node")),
+            lambda e, w=_way, b=_base: e.groupBy("user_id").agg(E.sequence_next_node(w, b, "ts", _PROPS, _BASE, BUY).alias("node")),
         )
         _cmp, _agg, _side = (">", "MIN", "nxt") if _way == "forward" else ("<", "MAX", "prv")
         _keep = "WHERE node IS NOT NULL" if "match" in _base else ""
@@ -261,7 +257,7 @@ for _way, _col in (("forward", "nxt"), ("backward", "prv")):
                 c3 AS (SELECT c2.user_id, c2.ts, o.{_side} AS node FROM c2 LEFT JOIN o ON o.user_id = c2.user_id AND o.ts = c2.t3)
                 SELECT u.user_id, f.node FROM (SELECT DISTINCT user_id FROM events) u
                 LEFT JOIN (SELECT * FROM c3 {_keep} QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts {_pick}) = 1) f USING (user_id)""",
-            lambda e, w=_way, b=_base: e.groupBy("user_id").agg(E.sequence_next_node(w, b, "ts", _PROPS, BUY | SIGNUP, BUY, VIEW, ERROR).alias("node")),
+            lambda e, w=_way, b=_base: e.groupBy("user_id").agg(E.sequence_next_node(w, b, "ts", _PROPS, _BASE, BUY, VIEW, ERROR).alias("node")),
         )
 add(
     "flow",

@@ -1,0 +1,136 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import eventlens as E
+from eventlens.operators import large_chain_count, large_funnel
+from eventlens.plans.sqlfront import SqlError, rewrite, sql
+from eventlens.sources import read_events, write_bucketed, write_result
+from eventlens.streaming.sessions import funnel_progress, session_totals
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    rnd = random.Random(5)
+    rows = [(k % 17, T0 + dt.timedelta(minutes=rnd.randint(0, 5000)), rnd.choice(["view", "click", "buy", "x"]), k) for k in range(1500)]
+    rows += [(3, None, "view", -1), (99, T0, "x", -2)]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, kind string, n int").cache()
+    df.createOrReplaceTempView("clicks")
+    return df
+
+
+VIEW, CLICK, BUY = "kind = 'view'", "kind = 'click'", "kind = 'buy'"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_large_funnel_agrees(events, once):
+    own = large_funnel(events, ["user_id"], "5 hours", "ts", VIEW, CLICK, BUY, strict_once=once)
+    held = events.groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY, mode="strict_once" if once else None))
+    assert rows(own) == rows(held) and dict(own.dtypes)["step"] == "int"
+
+
+def test_large_chain_count_agrees(events):
+    own = large_chain_count(events, ["user_id"], "(?1).*(?3)", "ts", VIEW, CLICK, BUY)
+    assert rows(own) == rows(events.groupBy("user_id").agg(E.sequence_count("(?1).*(?3)", "ts", VIEW, CLICK, BUY)))
+    with pytest.raises(ValueError):
+        large_chain_count(events, ["user_id"], "(?1)(?3)", "ts", VIEW, CLICK, BUY)
+
+
+def test_sql_functions(spark, events):
+    text = """
+        -- window_funnel( in a comment
+        SELECT user_id, 'sequence_match(' AS s,
+               window_funnel(INTERVAL '5 hours', ts, kind = 'view', kind = 'click', kind IN ('buy', ',')) AS f,
+               window_funnel(INTERVAL 5 HOURS, 'strict_order, strict_increase', ts, kind = 'view', kind = 'click', kind = 'buy') AS g,
+               window_funnel(INTERVAL '5 hours', 'strict_once', ts, kind = 'view', kind = 'click', kind = 'buy') AS h,
+               retention(kind = 'view', kind = 'none') AS r,
+               sequence_match('(?1)(?2).*(?3)', ts, kind = 'view', kind = 'click', kind = 'buy') AS m,
+               Sequence_Count('(?1)(?t<=3600)(?2)', ts, kind = 'view', kind = 'click') AS n,
+               sequence_count('(?1).*(?2)', ts, kind = 'view', kind = 'click') FILTER (WHERE n > 700) AS n2,
+               sequence_match_events('(?1).*(?2)', ts, kind = 'view', kind = 'buy') AS e,
+               sequence_next_node('forward', 'first_match', ts, kind, kind = 'view', kind = 'view', kind = 'click') AS x
+        FROM clicks GROUP BY user_id"""
+    late = F.when(F.col("n") > 700, F.col("ts"))
+    want = events.groupBy("user_id").agg(
+        F.lit("sequence_match(").alias("s"), E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY).alias("f"),
+        E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY, mode="strict_order,strict_increase").alias("g"),
+        E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY, mode="strict_once").alias("h"),
+        E.retention(VIEW, "kind = 'none'").alias("r"), E.sequence_match("(?1)(?2).*(?3)", "ts", VIEW, CLICK, BUY).alias("m"),
+        E.sequence_count("(?1)(?t<=3600)(?2)", "ts", VIEW, CLICK).alias("n"),
+        F.when(F.count(F.when(F.col("n") > 700, 1)) > 0, E.sequence_count("(?1).*(?2)", late, VIEW, CLICK)).alias("n2"),
+        E.sequence_match_events("(?1).*(?2)", "ts", VIEW, BUY).alias("e"),
+        E.sequence_next_node("forward", "first_match", "ts", "kind", VIEW, VIEW, CLICK).alias("x"),
+    )
+    assert rows(sql(spark, text)) == rows(want)
+
+
+def test_sql_sessions(spark, events):
+    text = """
+        WITH s AS (SELECT user_id, ts, n, sessionize(ts, INTERVAL '30 minutes') OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, n) AS session_id
+                   FROM clicks WHERE n > 10)
+        SELECT user_id, session_id, count(*) AS events FROM s GROUP BY ALL"""
+    want = E.sessionize(events.where("n > 10"), "ts", "30 minutes", ["user_id"], order_by="n").groupBy("user_id", "session_id").count()
+    assert rows(sql(spark, text)) == rows(want)
+    assert sql(spark, "SELECT sessionize(TIMESTAMP_NTZ '2024-01-01 00:00:00', INTERVAL '30 minutes') OVER () AS s").first().s == 1
+
+
+def test_sql_errors(spark):
+    for bad in ("SELECT retention(a) FROM t", "SELECT sequence_match(p, ts, a, b) FROM t", "SELECT sessionize(ts, INTERVAL '1 day') FROM t"):
+        with pytest.raises(SqlError):
+            rewrite(spark, bad)
+    assert rewrite(spark, "SELECT my_retention(1), 'retention(' -- retention(") == "SELECT my_retention(1), 'retention(' -- retention("
+
+
+def test_sources(spark, events, tmp_path):
+    schema = "user_id int, ts timestamp_ntz, kind string, n int"
+    for kind in ("parquet", "orc", "json", "csv"):
+        path = str(tmp_path / kind)
+        write_result(events, path, kind)
+        back = read_events(spark, path, kind, schema=schema, columns=["user_id", "ts"], since="2024-01-02", until="2024-01-03")
+        assert rows(back) == rows(events.where("ts >= '2024-01-02' and ts < '2024-01-03'").select("user_id", "ts"))
+    plan = read_events(spark, str(tmp_path / "parquet"), columns=["ts"], since="2024-01-02")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<ts:timestamp_ntz>" in plan
+    with pytest.raises(ValueError):
+        read_events(spark, "x", "csv")
+
+
+def test_bucketed_table_needs_no_shuffle(spark, events):
+    write_bucketed(events, "bucketed_clicks", ["user_id"], 4)
+    out = read_events(spark, "bucketed_clicks", "table").groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == rows(events.groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK)))
+
+
+def test_filter_is_below_the_shuffle(events):
+    plan = events.groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_collect_list" in plan
+
+
+def test_streams(spark, events, tmp_path):
+    source = str(tmp_path / "stream")
+    slim = events.where("ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "kind").orderBy("ts")
+    slim.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(slim.schema).parquet(source)
+    totals = session_totals(stream, ["user_id"], "ts", "30 minutes", "1 minute")
+    q = totals.writeStream.format("memory").queryName("totals").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    numbered = E.sessionize(slim, "ts", "30 minutes", ["user_id"]).groupBy("user_id", "session_id").agg(F.min("ts").alias("a"), F.count("*").alias("n"))
+    want = {(r.user_id, r.a, r.n) for r in numbered.collect()}
+    got = {(r.user_id, r.started_at, r.events) for r in spark.table("totals").collect()}
+    assert got <= want and len(got) > 0.9 * len(want)  # the last ones may still grow
+    progress = funnel_progress(stream, "user_id", "ts", "5 hours", VIEW, CLICK, BUY)
+    q = progress.writeStream.format("memory").queryName("progress").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    steps = {r.user_id: r.step for r in spark.table("progress").groupBy("user_id").agg(F.max("step").alias("step")).collect()}
+    held = events.groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY).alias("step")).where("step > 0")
+    assert steps == {r.user_id: r.step for r in held.collect()}
