@@ -30,9 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the reliable checkpoint folder; its lineage ends there.
+
+    A checkpoint keeps the size that was estimated for the plan before it. Over the rounds
+    of an iterative operator the estimates of joins would multiply into numbers of
+    millions of digits, so the checkpointed rows are taken up without them.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    written = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:
