@@ -17,12 +17,15 @@ empty table yields no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -35,7 +38,7 @@ BLOCK_IDS = 1 << 21
 #: Ids of one step group, in windows of one size.
 STEP_IDS = 64 * 2048
 
-_SPACED = re.compile(r"[^ \t\n\r]+")
+_MARKS = ".,;:!?*#$%&|"
 _SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, tier int, step_group long"
@@ -43,33 +46,67 @@ _SCHEMA = (
 Piece = tuple[int, int, int]  # document, start, length
 
 
-class _Chunks(dict):
-    """Ids, as little-endian 32-bit bytes, of text chunks between white space.
+class _Chunks:
+    """Ids, as little-endian 32-bit bytes, of texts by way of their chunks between white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its chunks in order. Chunks repeat, which makes looking them up much
-    cheaper than tokenising whole texts.
+    The tokenizer drops white space and never joins across it, so a text's ids are those
+    of its chunks in order. It also parts letters from other marks, so the ids of a chunk
+    of letters and then plain marks are those of both. Words repeat, and are kept in two
+    generations of bounded size: what is used again moves to the younger one.
     """
 
-    limit = 1 << 18
+    limit = 1 << 19
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = found
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
+
+    def _kept(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self._encode(piece)
+        if len(piece) <= 64:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
         return found
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPACED.findall(text)))
+    def _chunk(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_MARKS)
+        # Up to Cyrillic, where any two versions of Unicode agree on what a letter is.
+        if not core.isalpha() or not core.isascii() and max(core) > "\u052f":
+            core = chunk
+        elif core.isascii():
+            core = core.lower()
+        word = self.young.get(core)
+        if word is None:
+            word = self._kept(core)
+        if len(core) == len(chunk):
+            return word
+        marks = chunk[len(core) :]
+        return word + (self.young.get(marks) or self._kept(marks))
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; each distinct chunk of them all is looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        known = list(map(self._chunk, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(size) - size
+        chunk = coded.indices.to_numpy()
+        count = size[chunk]
+        after = np.concatenate([[0], np.cumsum(count)])
+        found = np.frombuffer(b"".join(known), np.uint32)[np.repeat(first[chunk] - after[:-1], count) + np.arange(after[-1])]
+        ends = after[np.cumsum([0, *pc.list_value_length(lists).to_numpy()])] * 4
+        data = found.tobytes()
+        return [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 _loaded: dict[str, _Chunks] = {}
@@ -172,6 +209,16 @@ def step_groups(windows: list[tuple[int, list[Piece]]], step_ids: int = STEP_IDS
     return groups
 
 
+def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts have about ``most`` bytes together, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _packed(path: str, tiers: tuple[int, ...], block_ids: int, step_ids: int):
     schema = pa.schema(
         [(n, pa.int32() if n == "tier" else pa.int64()) for n in (x.split()[0] for x in _SCHEMA.split(", "))]
@@ -205,13 +252,15 @@ def _packed(path: str, tiers: tuple[int, ...], block_ids: int, step_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = table.ids(text or "") + end
-                docs.append((doc_id, ids))
-                held += len(ids) // 4
-                if held >= block_ids:
-                    yield flush()
-                    docs, held = [], 0
+            for part in _slices(batch):
+                texts = table.ids(pc.fill_null(part.column(1), ""))
+                for doc_id, own in zip(part.column(0).to_pylist(), texts, strict=True):
+                    ids = own + end
+                    docs.append((doc_id, ids))
+                    held += len(ids) // 4
+                    if held >= block_ids:
+                        yield flush()
+                        docs, held = [], 0
         if docs:
             yield flush()
 
