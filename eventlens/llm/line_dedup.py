@@ -1,25 +1,26 @@
-"""Line deduplication: winnowed line fingerprints, matches extended, later runs deleted.
+"""Line deduplication: winnowed fingerprints of line runs, matches extended, later runs deleted.
 
-A document is the sequence of its lines that are not blank, each known by the hash of
-its trimmed text. Of every two neighbouring lines the one of smaller hash is a
-fingerprint (a window minimum), as is every line of ``MIN_WORDS`` words or more. So any
-run of that many words which two documents share has a fingerprint that both select.
+A document is the sequence of its lines that have words, each known by the hash of its
+trimmed text. From every line a span runs on until it has ``MIN_WORDS`` words. Spans are
+winnowed: of those that begin at a line and end within ``SURE_WORDS`` words from its
+start, the one of smallest hash is a fingerprint, whatever the words are around. So two
+documents that share a run of that many words select a common fingerprint in it.
 
 Every fingerprint's first place, in document order, is joined with its other places. A
-row carries the hashes around its place, so a match is extended both ways at once, up
-to ``REACH`` lines; fingerprints of a longer run chain, as they are at most two lines
-apart. Chained matches with one source, at one offset, are a run. Runs of ``MIN_WORDS``
-words or more are deleted, the first place stays.
+row carries the hashes around its place, so a match is extended both ways at once, up to
+``REACH`` lines beyond its start; longer runs are chained from their fingerprints.
+Chained matches with one source, at one offset, are a run. Runs of ``MIN_WORDS`` words or
+more are deleted, the first place stays.
 
 All is DataFrame expressions. First places are found by an aggregate that is added up
 before its shuffle, and the join with places has one row a fingerprint on that side, so
-a line of a third of all documents splits into as many tasks as it needs.
+a passage of a third of all documents splits into as many tasks as it needs.
 
 Defined cases: null and empty texts stay as they are; documents are ordered by id, nulls
 first, then by text hash; rows of one id and one text are one document and get the same
 text; a document that loses every line has an empty text. Documents that lose nothing
-keep their text to the byte, others lose blank lines too. Extra columns are kept; an
-empty table yields no rows.
+keep their text to the byte, others lose lines without words too. Extra columns are
+kept; an empty table yields no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from eventlens.llm._shared import WORD_PATTERN, cut
 
-#: Words of a repeated run that is deleted, at least.
-MIN_WORDS = 30
-#: Lines that a match is extended to either side of a fingerprint.
+#: Words of a repeated run that is deleted, at least; words from which on one is surely found.
+MIN_WORDS, SURE_WORDS = 25, 50
+#: Lines that a match is extended to either side of where its span begins.
 REACH = 4
 
 
@@ -40,85 +41,95 @@ def _key() -> Column:
 
 
 def _lines(text: str) -> Column:
-    return F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORD_PATTERN))
 
 
-def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
-    """``key, pos, h, from, hashes, ends``: fingerprints with the lines around them.
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, reach: int = REACH) -> DataFrame:
+    """Fingerprints ``key, pos, span`` with the lines around them, of ``key, text``.
 
-    ``hashes`` are those of the lines from position ``from``, ``ends`` the numbers of
-    words of the document up to the end of each, preceded by that before the first.
+    ``last`` is the span's last line and ``span_end`` the document's words up to its end;
+    ``hashes`` are those of the lines from ``from``, ``ends`` the words up to the end of
+    each, and ``start`` the words before the first of them.
     """
-    lines = docs.select(F.col("__key"), _lines("text").alias("lines")).where(F.size("lines") > 0)
+    lines = docs.select("key", _lines("text").alias("lines")).where(F.size("lines") > 0)
     words = lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))
-    lines = lines.select(
-        "__key",
-        F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("h"),
-        F.transform("lines", words).alias("w"),
-    )
-    # Running word counts from an exploded row, as folding arrays would copy them at each step.
+    hashes = F.transform("lines", lambda x: F.xxhash64(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
+    lines = lines.select("key", hashes.alias("h"), F.transform("lines", words).alias("w"))
+    # Hashes of lines are dealt by document, not their texts; running sums come from rows,
+    # as folding arrays would copy them at each step. Rows of one id and one text are one document.
     at = F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")
-    rows = lines.select("__key", at).select("__key", "pos", "line.h", "line.w")
-    inside = Window.partitionBy("__key").orderBy("pos")
-    rows = rows.withColumn("end", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lines.select("key", at).select("key", "pos", "line.h", "line.w")
+    rows = rows.repartition("key").dropDuplicates(["key", "pos"])
+    inside = Window.partitionBy("key").orderBy("pos")
+    rows = rows.withColumn("end", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = rows.withColumn("begin", F.col("end") - F.col("w"))
+    # Every line has a word, so ``begin`` orders lines as ``pos`` does, and frames can be measured in words.
+    by_words = Window.partitionBy("key").orderBy("begin")
+    ahead = by_words.rangeBetween(0, min_words - 1)
+    rows = rows.select(
+        "*", F.xxhash64(F.collect_list("h").over(ahead)).alias("span"),
+        F.max("pos").over(ahead).alias("last"), F.max("end").over(ahead).alias("span_end"),
+    )
+    whole = F.col("span_end") - F.col("begin") >= min_words
+    offer = F.when(whole, F.struct("span", (-F.col("pos")).alias("back"), "span_end"))
+    offers = F.collect_list(offer).over(by_words.rangeBetween(0, sure_words - 1))
+    rows = rows.withColumn("offers", offers)
+    near = F.filter("offers", lambda x: (x["span_end"] - F.col("begin") <= sure_words) | (x["back"] == -F.col("pos")))
+    rows = rows.withColumn("pick", F.when(whole, -F.array_min(near)["back"])).drop("offers")
+    picks = F.collect_list("pick").over(by_words.rangeBetween(1 - sure_words, 0))
     around = inside.rowsBetween(-reach, reach)
-    before, after = F.lag("h").over(inside), F.lead("h").over(inside)
-    # The smaller of each pair is selected, the later of equal ones; a single line is its own window.
-    chosen = (F.col("h") <= before) | (F.col("h") < after) | (before.isNull() & after.isNull()) | (F.col("w") >= min_words)
     rows = rows.select(
-        "__key", "pos", "h", chosen.alias("chosen"),
+        "key", "pos", "span", "last", "span_end", F.array_contains(picks, F.col("pos")).alias("chosen"),
         F.min("pos").over(around).alias("from"), F.collect_list("h").over(around).alias("hashes"),
-        F.collect_list("end").over(around).alias("ends"), F.first(F.col("end") - F.col("w")).over(around).alias("begin"),
+        F.collect_list("end").over(around).alias("ends"), F.min("begin").over(around).alias("start"),
     )
     return rows.where("chosen").drop("chosen")
 
 
 def matches(prints: DataFrame) -> DataFrame:
     """``key, source, offset, lo, hi, words_lo, words_hi``: places matched with first places, extended."""
-    first = F.min(F.struct("__key", "pos", "from", "hashes")).alias("first")
-    firsts = cut(prints.groupBy("h").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
-    pairs = prints.join(firsts, "h").where((F.col("__key") != F.col("first.__key")) | (F.col("pos") != F.col("first.pos")))
-    shift = (F.col("pos") - F.col("from")) - (F.col("first.pos") - F.col("first.from"))
-    # Indices of own lines (0-based in ``hashes``) that differ from the source's at the same offset.
-    own = F.sequence(F.lit(0), F.size("hashes") - 1)
-    differs = lambda i: ~F.coalesce(F.get("hashes", i) == F.get(F.col("first.hashes"), i - shift), F.lit(False))
-    other = F.filter(own, differs)
+    first = F.min(F.struct("key", "pos", "from", "hashes")).alias("first")
+    firsts = cut(prints.groupBy("span").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
+    pairs = prints.join(firsts, "span").where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
     at = F.col("pos") - F.col("from")
+    shift = at - (F.col("first.pos") - F.col("first.from"))
+    # Indices of own lines (from 0 in ``hashes``) that differ from the source's at the same offset.
+    own = F.sequence(F.lit(0), F.size("hashes") - 1)
+    other = F.filter(own, lambda i: ~F.coalesce(F.get("hashes", i) == F.get(F.col("first.hashes"), i - shift), F.lit(False)))
     lo = F.coalesce(F.array_max(F.filter(other, lambda i: i < at)) + 1, F.lit(0))
     hi = F.coalesce(F.array_min(F.filter(other, lambda i: i > at)) - 1, F.size("hashes") - 1)
     pairs = pairs.withColumn("a", lo).withColumn("b", hi)
     return pairs.select(
-        "__key", F.col("first.__key").alias("source"), (F.col("pos") - F.col("first.pos")).alias("offset"),
-        (F.col("from") + F.col("a")).alias("lo"), (F.col("from") + F.col("b")).alias("hi"),
-        F.when(F.col("a") > 0, F.get("ends", F.col("a") - 1)).otherwise(F.col("begin")).alias("words_lo"),
-        F.get("ends", F.col("b")).alias("words_hi"),
+        "key", F.col("first.key").alias("source"), (F.col("pos") - F.col("first.pos")).alias("offset"),
+        (F.col("from") + F.col("a")).alias("lo"), F.greatest(F.col("from") + F.col("b"), "last").alias("hi"),
+        F.when(F.col("a") > 0, F.get("ends", F.col("a") - 1)).otherwise(F.col("start")).alias("words_lo"),
+        F.greatest(F.get("ends", F.col("b")), "span_end").alias("words_hi"),
     )
 
 
 def runs(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``key, lo, hi`` of the runs to delete: chained matches of enough words."""
-    line = Window.partitionBy("__key", "source", "offset").orderBy("lo", "hi")
+    line = Window.partitionBy("key", "source", "offset").orderBy("lo", "hi")
     reached = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("lo") > reached + 1, 1).otherwise(0)
     marked = found.withColumn("run", F.sum(new).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = marked.groupBy("__key", "source", "offset", "run").agg(
+    whole = marked.groupBy("key", "source", "offset", "run").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("words_hi") - F.min("words_lo")).alias("words")
     )
-    return whole.where(F.col("words") >= min_words).select("__key", "lo", "hi")
+    return whole.where(F.col("words") >= min_words).select("key", "lo", "hi")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, reach: int = REACH) -> DataFrame:
     """``docs`` with later repeated runs deleted, and ``n_deleted``, the lines that went."""
-    keyed = docs.withColumn("__key", _key())
-    # Rows of one id and one text are one document.
-    single = keyed.select("__key", "text").where(F.col("text").isNotNull()).dropDuplicates(["__key"])
-    found = runs(matches(cut(fingerprints(single, min_words, reach))), min_words)
+    # Rows travel as one struct, so that their columns can't clash with those of the operator.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"), "text")
+    found = runs(matches(cut(fingerprints(keyed, min_words, sure_words, reach))), min_words)
     # A run of one document is deleted by intervals, as many as its lines at most.
-    gone = cut(found.groupBy("__key").agg(F.collect_set(F.struct("lo", "hi")).alias("__gone")))
-    joined = keyed.join(gone.withColumnRenamed("__key", "__of"), F.col("__key").eqNullSafe(F.col("__of")), "left")
-    kept = F.filter(_lines("text"), lambda x, i: ~F.exists("__gone", lambda g: i.between(g["lo"], g["hi"])))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    deleted = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(_lines("text")) - F.size("__kept"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    gone = cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("key", "of"))
+    joined = keyed.join(gone, F.col("key").eqNullSafe(F.col("of")), "left")
+    kept = F.filter(_lines("text"), lambda x, i: ~F.exists("gone", lambda g: i.between(g["lo"], g["hi"])))
+    joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    deleted = F.when(F.col("gone").isNull(), 0).otherwise(F.size(_lines("text")) - F.size("kept"))
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*columns, deleted.alias("n_deleted"))
