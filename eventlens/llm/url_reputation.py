@@ -97,14 +97,13 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, float]:
     suffixes = cut(total(domains, "suffix"))
     n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     rate = (bad + 1) / (n + 2)
-    shrunk = lambda mean, k: (F.col("bad") + k * F.col(mean)) / (F.col("n") + k)
-    suffixes = suffixes.withColumn("rate", F.lit(rate))
-    k = _strength(suffixes, "rate")
-    suffixes = suffixes.select("suffix", shrunk("rate", k).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix")
+    k = _strength(suffixes.withColumn("rate", F.lit(rate)), "rate")
+    # A parent's rate is that of its other children: a page isn't evidence twice.
+    rest = lambda mean: (F.col("all_bad") - F.col("bad") + k * mean) / (F.col("all_n") - F.col("n") + k)  # noqa: E731, B023
+    above = lambda df, key, *more: df.select(key, F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), *more)
+    domains = domains.join(above(suffixes, "suffix"), "suffix").withColumn("suffix_rate", rest(F.lit(rate)))
     k = _strength(domains, "suffix_rate")
-    domains = domains.select("domain", shrunk("suffix_rate", k).alias("domain_rate"))
-    hosts = hosts.join(domains, "domain")
+    hosts = hosts.join(above(domains, "domain", "suffix_rate"), "domain").withColumn("domain_rate", rest(F.col("suffix_rate")))
     k = _strength(hosts, "domain_rate")
     alpha = F.col("bad") + k * F.col("domain_rate")
     beta = F.col("n") - F.col("bad") + k * (1 - F.col("domain_rate"))
