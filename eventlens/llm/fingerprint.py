@@ -26,6 +26,8 @@ from eventlens.llm._shingles import shingles
 
 #: Hashes of a sketch. The standard error of a resemblance r is sqrt(r(1-r)/K).
 K = 128
+#: Bytes of input for each range of ids, at most.
+RANGE_BYTES = 128 << 20
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
@@ -114,17 +116,22 @@ def _streamed(k: int):
     return run
 
 
+def ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """As many ranges as the session has shuffle partitions, or more for a large input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # else the plan can't tell
+    return max(partitions(docs.sparkSession), -(-size // range_bytes) if known else 1)
+
+
 def fingerprint_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document's start.
 
     The order by id is met without one global sort of texts in a single task: ids are
     cut into ranges at quantiles, the first document of each range is also sent to the
     range before it (that of the first range to the last), and each range is sorted and
-    streamed on its own. Texts are shuffled once. Ranges are as many as the session's
-    shuffle partitions.
+    streamed on its own. Texts are shuffled once.
     """
-    spark = docs.sparkSession
-    many = partitions(spark)
+    many = ranges(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = [i / many for i in range(1, many)]
     cuts = slim.agg(F.percentile_approx("doc_id", marks, 10_000).alias("cuts")).first().cuts if marks else None
