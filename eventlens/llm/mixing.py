@@ -190,14 +190,15 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """
     mix = balanced_mix(docs, **options)
     # Rows of one id and one text are alike, so their numbers may be pooled and dealt back.
-    pooled = mix.groupBy("mark").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.max("size").alias("__size"))
-    tagged = docs.withColumn("__mark", F.xxhash64("doc_id", "text"))
-    joined = tagged.join(pooled.withColumnRenamed("mark", "__mark"), "__mark")
-    turn = F.row_number().over(Window.partitionBy("__mark").orderBy(F.lit(1)))
-    several = joined.where(F.col("__rows") > 1).withColumn("__turn", turn)
-    single = joined.where(F.col("__rows") == 1).withColumn("__turn", F.lit(1))
-    dealt = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("int")
-    times = F.when(F.col("__size") == 0, 1).otherwise(dealt).cast("int")
-    all_rows = single.unionByName(several).withColumn("__times", times).where(F.col("__times") > 0)
-    repeated = all_rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    pooled = mix.groupBy("mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size"))
+    # Rows travel as one struct, so that their columns can't clash with those of the operator.
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("mark"))
+    joined = tagged.join(pooled, "mark")
+    turn = F.row_number().over(Window.partitionBy("mark").orderBy(F.lit(1)))
+    several = joined.where(F.col("rows") > 1).withColumn("turn", turn)
+    single = joined.where(F.col("rows") == 1).withColumn("turn", F.lit(1))
+    dealt = F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("int")
+    times = F.when(F.col("size") == 0, 1).otherwise(dealt).cast("int")
+    taken = single.unionByName(several).withColumn("times", times).where(F.col("times") > 0)
+    repeated = taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm import ann, fingerprint, language, licenses, line_dedup, mixing, near_dedup, packing, quality, url_reputation
 from eventlens.llm._shared import held_out, table
+from eventlens.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {
         op6_line_dedup, op7_licenses, op8_quality, op9_near_dedup, op10_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+
