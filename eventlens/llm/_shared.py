@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
+def release(df: DataFrame) -> None:
+    """Ask the driver to collect its garbage.
+
+    Shuffle files and checkpoints that nothing refers to any more are deleted only then;
+    an iterative operator would pile them up while the driver's heap has room.
+    """
+    df.sparkSession._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,16 +5,21 @@ functions over its shingles (five words). A tree starts with all vertices in one
 a node picks, by its own hash, a few of the functions, and sends each vertex to one
 child for each picked function, named by the vertex's minimum. Similar sets share most
 minima, so they stay together on some path, while others part. A node of at most
-``LEAF`` vertices is compared exhaustively; larger ones branch again, down to ``DEPTH``,
-and their vertices are also compared with one pivot each. Trees are independent; their
-number sets the recall.
+``LEAF`` vertices is compared exhaustively; larger ones branch again, down to ``DEPTH``.
+Trees are independent; their number sets the recall.
+
+Branching can't part a large group of near copies. So in a large node every vertex is
+also compared with one pivot, and those very close to it stop there. The distance of sets
+is a metric: what may be linked to a vertex that close isn't far from the pivot either.
+Once the links with pivots are known, what is near a pivot is gathered, once for all trees,
+and whatever isn't in the component that most of it forms is compared with all of it, on
+full sets, block by block. So all links count, and the members of a component, however
+many, are not compared with each other.
 
 Comparison is by size and by one bit of each minimum, with a bound that a true link
-misses about once in 10^8. Pairs that pass are confirmed on the full shingle sets: first
+misses about once in 10^6. Pairs that pass are confirmed on the full shingle sets: first
 the closest earlier partner of each vertex, then those pairs whose ends are not connected
-yet (the others cannot change a component). For nodes that are still large at the last
-level, which hold large groups of near copies, every vertex that is not connected with
-the node's largest component is compared with the whole node, in joins that split.
+yet (the others cannot change a component).
 
 Components come from contracting links to smaller neighbours, round by round, as tables.
 
@@ -31,19 +36,24 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm._shared import cut
+from eventlens.llm._shared import cut, release
 from eventlens.llm._shingles import mix, shingles
 
 #: Link if PERCENT of the union is common. Independent trees, largest leaf, deepest level.
-PERCENT, TREES, LEAF, DEPTH = 85, 10, 48, 8
+PERCENT, TREES, LEAF, DEPTH = 85, 10, 48, 4
 #: Minima of a signature, of which the first are branched on and all give a bit.
 MINIMA, BRANCHED = 128, 64
 #: A node picks 1/PICK of a function for each vertex on average, and one at least.
 PICK = 0.8
+#: Different bits from the pivot up to which a vertex stops, and up to which it may be linked to one that did.
+STOP, REACH = 20, 56
+#: Vertices of a block that is compared with another: outside of a component, and near a pivot.
+BLOCK_OUT, BLOCK_NEAR = 512, 1024
 
 _random = np.random.default_rng(20240229)
 _FACTOR = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,9 +75,9 @@ def bits(least: np.ndarray) -> np.ndarray:
 
 
 def most_different(percent: int = PERCENT) -> int:
-    """Different bits that a linked pair has at most, but for once in about 10^8."""
+    """Different bits that a linked pair has at most, but for once in about 10^6."""
     p = (1 - percent / 100) / 2
-    return math.ceil(MINIMA * p + 6 * math.sqrt(MINIMA * p * (1 - p)))
+    return math.ceil(MINIMA * p + 5 * math.sqrt(MINIMA * p * (1 - p)))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +148,36 @@ def _branch(trees: int):
     return run
 
 
+def _far(x: Column, y: Column) -> Column:
+    """Different bits of two vertices."""
+    differ = F.bit_count(x["b0"].bitwiseXOR(y["b0"])) + F.bit_count(x["b1"].bitwiseXOR(y["b1"]))
+    return differ.cast("int")
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
     """True if two vertices may be linked, by size and by bits."""
     x, y = F.col(a), F.col(b)
-    close = F.bit_count(x["b0"].bitwiseXOR(y["b0"])) + F.bit_count(x["b1"].bitwiseXOR(y["b1"]))
-    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (close <= most_different(percent))
+    sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    return sizes & (_far(x, y) <= most_different(percent))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
-    far = F.bit_count(x["b0"].bitwiseXOR(y["b0"])) + F.bit_count(x["b1"].bitwiseXOR(y["b1"]))
-    return [F.least(x["v"], y["v"]).alias("a"), F.greatest(x["v"], y["v"]).alias("b"), far.cast("int").alias("far")]
+    return [F.least(x["v"], y["v"]).alias("a"), F.greatest(x["v"], y["v"]).alias("b"), _far(x, y).alias("far")]
 
 
 _VERTEX = ("v", "n", "b0", "b1")
 
 
-def candidates(vertices: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs ``a, b, far`` to confirm, and the rows of nodes that are large at the last level."""
+def candidates(vertices: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b, far`` to confirm, and what stopped in large nodes.
+
+    The latter has ``pivot, v``: what is near a pivot, of those pivots where any vertex
+    stopped. At the last level all vertices of large nodes stop.
+    """
     rows = vertices.mapInArrow(_branch(trees), _ROW)
-    pairs: list[DataFrame] = []
+    own, pairs, dense = F.struct(*_VERTEX), [], []
     for level in range(depth):
-        own = F.struct(*_VERTEX)
+        release(vertices)
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(own).alias("pivot")).where("size > 1"))
         # Vertices that are alone in their node leave here. Written before it is grouped, this join may split.
         met = cut(rows.join(sizes, "node").withColumn("pivot", F.when(F.col("size") > leaf, F.col("pivot"))))
@@ -166,19 +185,28 @@ def candidates(vertices: DataFrame, percent: int = PERCENT, trees: int = TREES,
         one = small.select("all", F.explode("all").alias("x"))
         both = one.select("x", F.explode(F.filter("all", lambda y: y["v"] > F.col("x.v"))).alias("y"))
         pairs.append(both.where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y"))).distinct())
-        large = met.where(F.col("size") > leaf)
+        large = met.where(F.col("size") > leaf).select("node", "used", own.alias("x"), F.col("pivot").alias("y"))
         if large.isEmpty():
-            large = None
             break
-        star = large.select(own.alias("x"), F.col("pivot").alias("y")).where("x.v <> y.v")
-        pairs.append(star.where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y"))).distinct())
-        if level < depth - 1:
-            again = large.select("node", "used", "v").join(vertices, "v")
-            rows = again.mapInArrow(_branch(trees), _ROW)
+        large = large.withColumn("far", _far(F.col("x"), F.col("y")))
+        star = large.where("x.v <> y.v").where(_alike("x", "y", percent))
+        pairs.append(star.select(_pair(F.col("x"), F.col("y"))).distinct())
+        last = level == depth - 1
+        near = large.where(F.lit(last) | (F.col("far") <= REACH))
+        stopped = F.lit(last) | (F.col("far") <= STOP) & (F.col("x.v") != F.col("y.v"))  # the pivot has met all
+        dense.append(near.select(F.col("y.v").alias("pivot"), "x.v", stopped.alias("stopped")))
+        if not last:
+            on = large.where(F.col("far") > STOP).select("node", "used", "x.v")
+            rows = cut(on.join(vertices, "v").mapInArrow(_branch(trees), _ROW))
     found = pairs[0]
     for x in pairs[1:]:
         found = found.unionByName(x)
-    return cut(found.distinct()), large
+    stops = dense[0] if dense else vertices.sparkSession.createDataFrame([], "pivot long, v long, stopped boolean")
+    for x in dense[1:]:
+        stops = stops.unionByName(x)
+    stops = cut(stops.groupBy("pivot", "v").agg(F.bool_or("stopped").alias("stopped")))
+    used = cut(stops.where("stopped").select("pivot").distinct())  # where nothing stopped, nobody need be remembered
+    return cut(found.distinct()), cut(stops.select("pivot", "v").join(used, "pivot", "left_semi"))
 
 
 def _confirmed(percent: int):
@@ -212,6 +240,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     names = None
     while not edges.isEmpty():
+        release(edges)
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         above = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
         above = cut(above.select(F.col("a").alias("v"), "up"))
@@ -244,10 +273,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
     own = F.struct(F.col("doc_id").alias("v"), "n", "b0", "b1", "least")
     vertices = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min(own).alias("x"))
     vertices = cut(vertices.select("key", "x.*"))
-    pairs, large = candidates(vertices.drop("key"), percent, trees, leaf, depth)
-    near = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
-    if large is not None:
-        near = near.unionByName(large.select("v"))
+    pairs, stops = candidates(vertices.drop("key"), percent, trees, leaf, depth)
+    near = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(stops.select("v"))
     texts = docs.select(F.col("doc_id").cast("long").alias("v"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = cut(texts.join(cut(near.distinct()), "v", "left_semi").groupBy("v").agg(F.min("text").alias("text")))
     closest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
@@ -255,10 +282,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
     names = components(links)
     links = cut(links.unionByName(confirm(cut(_apart(pairs, names)), texts, percent)))
     names = components(links)
-    if large is not None:
-        rest = cut(_apart(_residual(large, names, percent), names).distinct())
-        if not rest.isEmpty():
-            names = components(links.unionByName(confirm(rest, texts, percent)))
+    rest = cut(_residual(stops, names, texts, percent))
+    if not rest.isEmpty():
+        names = components(links.unionByName(rest))
     of_key = vertices.select("key", "v").join(names, "v", "left").select("key", F.coalesce("c", "v").alias("c"))
     rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
     joined = rows.join(cut(of_key), "key", "left").withColumn("c", F.coalesce("c", "doc_id"))
@@ -266,18 +292,63 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), kept.alias("kept"))
 
 
-def _residual(large: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large last nodes: vertices outside a node's largest component with all of it."""
-    named = cut(large.select("node", *_VERTEX).join(names, "v", "left").withColumn("c", F.coalesce("c", "v")))
-    main = named.groupBy("node", "c").count().groupBy("node").agg(F.max(F.struct("count", "c")).alias("m"))
-    main = cut(main.select("node", F.col("m.c").alias("main")))
-    inside = F.struct(*_VERTEX, "c")
-    outside = cut(named.join(main, "node").where("c <> main").select("node", inside.alias("x")))
-    pairs = named.select("node", inside.alias("y")).join(outside, "node").where("x.c <> y.c")
-    return pairs.where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y")))
+def cross_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, columns: int = 2048) -> np.ndarray:
+    """Which sets of ``left`` (rows) are linked to which of ``right``, by exact counts.
+
+    Only hashes that two sets have at least matter; they are counted so many at a time.
+    """
+    sizes = np.array([len(x) for x in [*left, *right]], np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    _, at, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    of, at = of[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((times > 1).sum()), columns):
+        a, b = np.searchsorted(at, [first, first + columns])
+        some = np.zeros((len(sizes), columns), np.float32)
+        some[of[a:b], at[a:b] - first] = 1
+        common += some[: len(left)] @ some[len(left) :].T
+    whole = sizes[: len(left), None] + sizes[None, len(left) :] - common
+    return (common > 0) & (100 * common >= percent * whole)
+
+
+def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between vertices near one pivot that aren't connected yet.
+
+    What is outside the largest component near the pivot meets all that is near it, in a
+    grid of blocks of bounded size. Of the links between two components one is enough.
+    """
+    named = cut(stops.join(names, "v", "left").withColumn("c", F.coalesce("c", "v")))
+    main = named.groupBy("pivot", "c").count().groupBy("pivot")
+    main = main.agg(F.max(F.struct("count", "c")).alias("m"), F.sum("count").alias("near"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    main = main.select(
+        "pivot", F.col("m.c").alias("main"), blocks(F.col("near"), BLOCK_NEAR).alias("across"),
+        blocks(F.col("near") - F.col("m.count"), BLOCK_OUT).alias("down"),
+    )
+    named = named.join(cut(main.where("down > 0")), "pivot").join(texts, "v")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    out = named.where("c <> main").select("pivot", own("down").alias("i"), each("across").alias("j"), "v", "c", "text")
+    # Other names, as both sides of a cogroup may not share columns.
+    again = {"pivot": "group", "v": "w", "c": "d", "text": "body"}
+    near = named.select(*[F.col(x).alias(y) for x, y in again.items()], each("down").alias("row"), own("across").alias("col"))
+
+    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        linked = cross_links(shingles(x.text.tolist()), shingles(y.body.tolist()), percent)
+        c, d = x.c.to_numpy(), y.d.to_numpy()
+        i, j = np.nonzero(linked & (c[:, None] != d[None]))
+        _, one = np.unique(np.stack([c[i], d[j]]), axis=1, return_index=True)
+        return pd.DataFrame({"a": x.v.to_numpy()[i[one]], "b": y.w.to_numpy()[j[one]]})
+
+    return out.groupBy("pivot", "i", "j").cogroup(near.groupBy("group", "row", "col")).applyInPandas(cell, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their columns, but for documents linked to an earlier one."""
-    gone = link_documents(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(cut(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = cut(link_documents(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
