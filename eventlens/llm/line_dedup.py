@@ -33,7 +33,7 @@ from eventlens.llm._shared import WORD_PATTERN, cut
 #: Words of a repeated run that is deleted, at least; words from which on one is surely found.
 MIN_WORDS, SURE_WORDS = 25, 50
 #: Lines that a match is extended to either side of where its span begins.
-REACH = 4
+REACH = 3
 
 
 def _key() -> Column:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int =
     rows = lines.select("key", at).select("key", "pos", "line.h", "line.w")
     rows = rows.repartition("key").dropDuplicates(["key", "pos"])
     inside = Window.partitionBy("key").orderBy("pos")
-    rows = rows.withColumn("end", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = rows.withColumn("end", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     rows = rows.withColumn("begin", F.col("end") - F.col("w"))
     # Every line has a word, so ``begin`` orders lines as ``pos`` does, and frames can be measured in words.
     by_words = Window.partitionBy("key").orderBy("begin")
