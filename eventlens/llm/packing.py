@@ -55,7 +55,7 @@ class _Chunks:
     generations of bounded size: what is used again moves to the younger one.
     """
 
-    limit = 1 << 19
+    limit = 1 << 18
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,6 +64,11 @@ class _Chunks:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """Keep less between partitions: the worker may do other work next."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
     def _encode(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
@@ -263,6 +268,8 @@ def _packed(path: str, tiers: tuple[int, ...], block_ids: int, step_ids: int):
                         docs, held = [], 0
         if docs:
             yield flush()
+            docs.clear()
+        table.rest()
 
     return run
 
