@@ -55,22 +55,13 @@ def sequence_next_node(
     ``head`` and ``tail`` try the first and the last event of the base condition only;
     ``first_match`` and ``last_match`` try all of them, in the direction of the search and
     against it, until one yields a value. Null without a match, a neighbour or a value.
-    All rows with a timestamp take part, whether they satisfy a condition or not. One event
-    condition is built-in expressions, more are chained in an Arrow function.
+    All rows with a timestamp take part, whether they satisfy a condition or not. The chain
+    is followed in an Arrow function that sees conditions only; values stay in the JVM.
     """
     way, which = args.option(Direction, direction, on_error), args.option(Base, base, on_error)
     steps = args.conditions(events, 1)
     fields = [mask(steps).alias("mask"), args.column(value).cast("string").alias("value"), args.truth(base_condition).alias("base")]
     rows = F.array_sort(collected(ts, fields, F.lit(True), order_by))
-    if len(steps) == 1:
-        shift = 1 if way is Direction.FORWARD else -1
-        seen = lambda e, i: F.struct(e["base"].alias("base"), (e["mask"] == 1).alias("ok"), F.get(rows, i + shift)["value"].alias("value"))
-        starts = F.filter(F.transform(rows, seen), lambda s: s["base"])
-        if which in (Base.FIRST_MATCH, Base.LAST_MATCH):
-            starts = F.filter(starts, lambda s: s["ok"] & s["value"].isNotNull())
-        left = which is Base.HEAD or which is not Base.TAIL and (way is Direction.FORWARD) == (which is Base.FIRST_MATCH)
-        start = F.try_element_at(starts, F.lit(1 if left else -1))
-        return F.when(start["ok"], start["value"])
     n = len(steps)
     slim = F.transform(rows, lambda e: F.struct(e["mask"].alias("mask"), e["base"].alias("base"), e["value"].isNotNull().alias("known")))
 
