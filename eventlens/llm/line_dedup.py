@@ -1,19 +1,18 @@
-"""Line deduplication: winnowed fingerprints of line runs, matches extended, later runs deleted.
+"""Line deduplication: every repeated run of lines is found by its shortest spans, later ones deleted.
 
 A document is the sequence of its lines that have words, each known by the hash of its
-trimmed text. From every line a span runs on until it has ``MIN_WORDS`` words. Spans are
-winnowed: of those that begin at a line and end within ``SURE_WORDS`` words from its
-start, the one of smallest hash is a fingerprint, whatever the words are around. So two
-documents that share a run of that many words select a common fingerprint in it.
+trimmed text. From every line a span runs on until it has ``MIN_WORDS`` words, and to every
+line one runs up that has as many. What is a span depends on its own lines alone, so two
+documents that share a run of that many words share its spans. Of a run, each line lies in
+the span from the run's first line, or is the last line of a span within the run. So the
+spans cover a run to both of its ends, however short or long its lines are, and nothing
+has to be extended.
 
-Every fingerprint's first place, in document order, is joined with its other places. A
-row carries the hashes around its place, so a match is extended both ways at once, up to
-``REACH`` lines beyond its start; longer runs are chained from their fingerprints.
-Chained matches with one source, at one offset, are a run. Runs of ``MIN_WORDS`` words or
-more are deleted, the first place stays.
+Of the places of one span the first, in document order, stays. The others are joined into
+runs and deleted.
 
 All is DataFrame expressions. First places are found by an aggregate that is added up
-before its shuffle, and the join with places has one row a fingerprint on that side, so
+before its shuffle, and the join with places has one row a span on that side, so
 a passage of a third of all documents splits into as many tasks as it needs.
 
 Defined cases: null and empty texts stay as they are; documents are ordered by id, nulls
@@ -30,10 +29,8 @@ from pyspark.sql import functions as F
 
 from eventlens.llm._shared import WORD_PATTERN, cut
 
-#: Words of a repeated run that is deleted, at least; words from which on one is surely found.
+#: Words of a repeated run that is deleted, at least; what earlier versions needed to find one surely.
 MIN_WORDS, SURE_WORDS = 25, 50
-#: Lines that a match is extended to either side of where its span begins.
-REACH = 3
 
 
 def _key() -> Column:
@@ -44,13 +41,8 @@ def _lines(text: str) -> Column:
     return F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORD_PATTERN))
 
 
-def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, reach: int = REACH) -> DataFrame:
-    """Fingerprints ``key, pos, span`` with the lines around them, of ``key, text``.
-
-    ``last`` is the span's last line and ``span_end`` the document's words up to its end;
-    ``hashes`` are those of the lines from ``from``, ``ends`` the words up to the end of
-    each, and ``start`` the words before the first of them.
-    """
+def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, lo, hi, span``: first and last line and hash of the shortest spans, of ``key, text``."""
     lines = docs.select("key", _lines("text").alias("lines")).where(F.size("lines") > 0)
     words = lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))
     hashes = F.transform("lines", lambda x: F.xxhash64(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
@@ -63,67 +55,41 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int =
     inside = Window.partitionBy("key").orderBy("pos")
     rows = rows.withColumn("end", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     rows = rows.withColumn("begin", F.col("end") - F.col("w"))
-    # Every line has a word, so ``begin`` orders lines as ``pos`` does, and frames can be measured in words.
-    by_words = Window.partitionBy("key").orderBy("begin")
-    ahead = by_words.rangeBetween(0, min_words - 1)
-    rows = rows.select(
-        "*", F.xxhash64(F.collect_list("h").over(ahead)).alias("span"),
-        F.max("pos").over(ahead).alias("last"), F.max("end").over(ahead).alias("span_end"),
-    )
-    whole = F.col("span_end") - F.col("begin") >= min_words
-    offer = F.when(whole, F.struct("span", (-F.col("pos")).alias("back"), "span_end"))
-    offers = F.collect_list(offer).over(by_words.rangeBetween(0, sure_words - 1))
-    rows = rows.withColumn("offers", offers)
-    near = F.filter("offers", lambda x: (x["span_end"] - F.col("begin") <= sure_words) | (x["back"] == -F.col("pos")))
-    rows = rows.withColumn("pick", F.when(whole, -F.array_min(near)["back"])).drop("offers")
-    picks = F.collect_list("pick").over(by_words.rangeBetween(1 - sure_words, 0))
-    around = inside.rowsBetween(-reach, reach)
+    # Every line has a word, so ``begin`` and ``end`` order lines as ``pos`` does, and frames can be measured in words.
+    down = Window.partitionBy("key").orderBy("begin").rangeBetween(0, min_words - 1)
+    up = Window.partitionBy("key").orderBy("end").rangeBetween(1 - min_words, 0)
+    span = lambda frame: F.xxhash64(F.collect_list("h").over(frame)).alias("span")
+    below = F.struct(F.col("pos").alias("lo"), F.max("pos").over(down).alias("hi"), span(down))
+    above = F.struct(F.min("pos").over(up).alias("lo"), F.col("pos").alias("hi"), span(up))
     rows = rows.select(
-        "key", "pos", "span", "last", "span_end", F.array_contains(picks, F.col("pos")).alias("chosen"),
-        F.min("pos").over(around).alias("from"), F.collect_list("h").over(around).alias("hashes"),
-        F.collect_list("end").over(around).alias("ends"), F.min("begin").over(around).alias("start"),
-    )
-    return rows.where("chosen").drop("chosen")
-
-
-def matches(prints: DataFrame) -> DataFrame:
-    """``key, source, offset, lo, hi, words_lo, words_hi``: places matched with first places, extended."""
-    first = F.min(F.struct("key", "pos", "from", "hashes")).alias("first")
-    firsts = cut(prints.groupBy("span").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
-    pairs = prints.join(firsts, "span").where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
-    at = F.col("pos") - F.col("from")
-    shift = at - (F.col("first.pos") - F.col("first.from"))
-    # Indices of own lines (from 0 in ``hashes``) that differ from the source's at the same offset.
-    own = F.sequence(F.lit(0), F.size("hashes") - 1)
-    other = F.filter(own, lambda i: ~F.coalesce(F.get("hashes", i) == F.get(F.col("first.hashes"), i - shift), F.lit(False)))
-    lo = F.coalesce(F.array_max(F.filter(other, lambda i: i < at)) + 1, F.lit(0))
-    hi = F.coalesce(F.array_min(F.filter(other, lambda i: i > at)) - 1, F.size("hashes") - 1)
-    pairs = pairs.withColumn("a", lo).withColumn("b", hi)
-    return pairs.select(
-        "key", F.col("first.key").alias("source"), (F.col("pos") - F.col("first.pos")).alias("offset"),
-        (F.col("from") + F.col("a")).alias("lo"), F.greatest(F.col("from") + F.col("b"), "last").alias("hi"),
-        F.when(F.col("a") > 0, F.get("ends", F.col("a") - 1)).otherwise(F.col("start")).alias("words_lo"),
-        F.greatest(F.get("ends", F.col("b")), "span_end").alias("words_hi"),
+        "key", F.when(F.max("end").over(down) - F.col("begin") >= min_words, below).alias("below"),
+        # With fewer words before its last line, this is also the span down from its first line.
+        F.when(F.col("begin") - F.min("begin").over(up) >= min_words, above).alias("above"),
     )
+    return rows.select("key", F.explode(F.array_compact(F.array("below", "above"))).alias("x")).select("key", "x.*")
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """``key, lo, hi``: the places of spans but for their first ones."""
+    first = F.min(F.struct("key", "lo")).alias("first")
+    firsts = cut(found.groupBy("span").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
+    return found.join(firsts, "span").where((F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))).select("key", "lo", "hi")
 
 
-def runs(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, lo, hi`` of the runs to delete: chained matches of enough words."""
-    line = Window.partitionBy("key", "source", "offset").orderBy("lo", "hi")
+def runs(found: DataFrame) -> DataFrame:
+    """``key, lo, hi`` of the runs to delete: places that overlap or adjoin are one."""
+    line = Window.partitionBy("key").orderBy("lo", "hi")
     reached = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("lo") > reached + 1, 1).otherwise(0)
-    marked = found.withColumn("run", F.sum(new).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = marked.groupBy("key", "source", "offset", "run").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("words_hi") - F.min("words_lo")).alias("words")
-    )
-    return whole.where(F.col("words") >= min_words).select("key", "lo", "hi")
+    marked = found.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("key", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("key", "lo", "hi")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, reach: int = REACH) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs deleted, and ``n_deleted``, the lines that went."""
     # Rows travel as one struct, so that their columns can't clash with those of the operator.
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"), "text")
-    found = runs(matches(cut(fingerprints(keyed, min_words, sure_words, reach))), min_words)
+    found = runs(repeats(cut(spans(keyed, min_words))))
     # A run of one document is deleted by intervals, as many as its lines at most.
     gone = cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("key", "of"))
     joined = keyed.join(gone, F.col("key").eqNullSafe(F.col("of")), "left")

@@ -343,6 +343,36 @@ def test_line_dedup_hot_lines_and_repeats(spark):
     assert all(len(t.split("\n")) == 2 for k, t in got if 0 < k < 200)
 
 
+@pytest.mark.parametrize("length", [1, 3, 5, 8, 12, 25])
+def test_line_dedup_deletes_runs_to_their_ends(spark, length):
+    """Whatever the lines' length, and though parts of the passage stand earlier."""
+    rnd = random.Random(length)
+    passage = [invented(rnd, length) for _ in range(-(-60 // length))]
+    own = {k: [invented(rnd, 7), invented(rnd, 9)] for k in range(6)}
+    part = passage[len(passage) // 4 : -(len(passage) // 4)]
+    texts = {0: [own[0][0], *part, own[0][1]]} | {k: [own[k][0], *passage, own[k][1]] for k in range(1, 6)}
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(frame(spark, [(k, "\n".join(v), "", "") for k, v in texts.items()])).collect()}
+    assert got[0] == texts[0] and all(got[k] == own[k] for k in range(2, 6))
+
+
+def test_line_dedup_is_exact(spark):
+    """A line goes if and only if it is in a run of MIN_WORDS words that stands earlier."""
+    rnd = random.Random(21)
+    lines = [invented(rnd, rnd.choice([1, 2, 4, 7, 13, 24, 30])) for _ in range(25)]
+    texts = {k: [rnd.choice(lines) for _ in range(rnd.randint(1, 25))] for k in range(80)}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, [(k, "\n".join(v), "", "") for k, v in texts.items()])).collect()}
+    seen: set[tuple[str, ...]] = set()
+    for k, own in texts.items():
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                run = tuple(own[a : b + 1])
+                if sum(len(x.split()) for x in run) >= line_dedup.MIN_WORDS:
+                    gone |= set(range(a, b + 1)) if run in seen else set()
+                    seen.add(run)
+        assert got[k] == "\n".join(x for i, x in enumerate(own) if i not in gone), k
+
+
 # --- licenses -------------------------------------------------------------------------
 LICENSED = [
     None, "", "CC BY", "cc-by cc  by, Cc/BY accby", "It is the GNU General\nPublic  License. All rights reserved!", "all rights not reserved",
