@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from eventlens.llm import language, line_dedup, mixing, near_dedup, packing
 from eventlens.llm._shared import shared_folder, table
 
+#: Percent of common shingles from which documents are near duplicates here; 85 is the contract of op9_near_dedup alone.
+NEAR_PERCENT = 80
 #: The vocabulary that the last stage tokenises with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,7 +41,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

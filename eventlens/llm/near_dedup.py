@@ -50,7 +50,7 @@ PERCENT, TREES, LEAF, DEPTH = 85, 10, 48, 4
 MINIMA, BRANCHED = 128, 64
 #: A node picks 1/PICK of a function for each vertex on average, and one at least.
 PICK = 0.8
-#: Different bits from the pivot up to which a vertex stops, and up to which it may be linked to one that did.
+#: Different bits from the pivot up to which a vertex stops, and up to which, at least, it may be linked to one that did.
 STOP, REACH = 20, 56
 #: Vertices of a block that is compared with another: outside of a component, and near a pivot.
 BLOCK_OUT, BLOCK_NEAR = 512, 1024
@@ -80,6 +80,12 @@ def most_different(percent: int = PERCENT) -> int:
     return math.ceil(MINIMA * p + 5 * math.sqrt(MINIMA * p * (1 - p)))
 
 
+def most_from_pivot(percent: int = PERCENT) -> int:
+    """Different bits from the pivot up to which a vertex may be linked to one that stopped."""
+    p = STOP / MINIMA + (1 - percent / 100) / 2
+    return max(REACH, math.ceil(MINIMA * p + 5 * math.sqrt(MINIMA * p * (1 - p))))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
@@ -192,7 +198,7 @@ def candidates(vertices: DataFrame, percent: int = PERCENT, trees: int = TREES,
         star = large.where("x.v <> y.v").where(_alike("x", "y", percent))
         pairs.append(star.select(_pair(F.col("x"), F.col("y"))).distinct())
         last = level == depth - 1
-        near = large.where(F.lit(last) | (F.col("far") <= REACH))
+        near = large.where(F.lit(last) | (F.col("far") <= most_from_pivot(percent)))
         stopped = F.lit(last) | (F.col("far") <= STOP) & (F.col("x.v") != F.col("y.v"))  # the pivot has met all
         dense.append(near.select(F.col("y.v").alias("pivot"), "x.v", stopped.alias("stopped")))
         if not last:

@@ -597,6 +597,26 @@ def test_pipeline(spark, tmp_path):
     assert tokens(whole) == tokens(key(current)) and {d for d, *_ in whole} == seen[4]
 
 
+def test_pipeline_links_from_080(spark):
+    """The near-dedup stage drops what all pairs of at least 0.80 connect to an earlier document."""
+    import corpus_pipeline
+
+    rnd = random.Random(22)
+    texts = {}
+    for k in range(0, 200, 2):
+        words = invented(rnd, 204).split()
+        texts[k] = " ".join(words)
+        for at in rnd.sample(range(4, 200, 8), rnd.randint(3, 6)):  # a word away from others changes five shingles
+            words[at] = "changed" + str(at)
+        texts[k + 1] = " ".join(words)
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    share = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 200, 2)}
+    assert all(not sets[a] & sets[b] for a, b in itertools.combinations(sets, 2) if a // 2 != b // 2)
+    assert sum(0.8 <= x < 0.85 for x in share.values()) > 20 and sum(x < 0.8 for x in share.values()) > 10
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, frame(spark, [(k, t, "", "") for k, t in texts.items()]), "").collect()}
+    assert got == {k for k in texts if k % 2 == 0 or share[k - 1] < 0.8}
+
+
 def test_line_dedup_against_brute_force(spark):
     """Runs of SURE_WORDS words that stand earlier never survive whole; what is deleted stands earlier."""
     rnd = random.Random(18)
