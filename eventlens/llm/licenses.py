@@ -1,12 +1,19 @@
 """License scan: phrase places, and an exact set-similarity join with license templates.
 
 Texts are cut into blocks (lines and sentences), a block being the set of its words. A
-template matches a block that holds at least ``THRESHOLD`` of the template's words. The
-join is exact: words are ordered by their frequency over all blocks, rarest first; of a
+template matches a block that holds at least ``THRESHOLD`` of the template's words.
+
+Notices are wrapped, too. So a template also matches a window of a paragraph, the lines
+between blank ones: as many successive words as the template has, divided by
+``THRESHOLD``, wherever lines and sentences end. Both sides are then alike, and words
+scattered over a paragraph don't match.
+
+The join is exact: words are ordered by their frequency over all blocks, rarest first; of a
 template of m words of which o must be found, only the first m-o+1 are indexed, as a
 matching block holds one of these (prefix filter); blocks of fewer than o template
 words are passed over (length filter); and the first common word must leave enough words
-behind it on both sides (positional filter). What remains is compared in full.
+behind it on both sides (positional filter). What remains is compared in full. Paragraphs
+pass the same filters as a whole before their windows are compared.
 
 The templates are a bounded list that travels with the plan, so each text is scanned
 where it lies: no shuffle. All of it is built-in functions.
@@ -46,6 +53,7 @@ MOST_TEMPLATES = 500
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _BLOCKS = r"[\r\n]+|(?<=[.!?;])[ \t]+"
+_PARAGRAPHS = r"(?>\r\n|\r|\n)(?:[ \t\f\x0B]*(?>\r\n|\r|\n))+"
 
 
 def _whole(words: list[str]) -> str:
@@ -80,7 +88,11 @@ def _postings(templates, order: dict[str, int], threshold: float) -> tuple[Colum
         words = sorted(set(text.split()), key=order.__getitem__)
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
         least.append(need)
-        entry = F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(len(words)).alias("m"), F.lit(need).alias("need"))
+        window = math.floor(len(text.split()) / threshold + 1e-9)
+        entry = F.struct(
+            F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(len(words)).alias("m"),
+            F.lit(need).alias("need"), F.lit(window).alias("window"),
+        )
         for word in words[: len(words) - need + 1]:
             by_word.setdefault(word, []).append(entry)
     pairs = [x for word, entries in by_word.items() for x in (F.lit(word), F.array(*entries))]
@@ -105,8 +117,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     before_last = F.regexp_extract(text, "(?s)^(.*)" + phrase.replace("(?i)", "(?i:") + ")", 1)
     base = F.array_compact(F.array(*[F.when(text.rlike(_whole([p])), F.lit(label)) for p, label in PHRASES]))
 
-    def hits(words: Column) -> Column:
-        """Matches of one block: label and containment."""
+    def fitting(words: Column) -> Column:
+        """Templates of which a set of words holds enough."""
         candidates = F.array_distinct(F.flatten(F.transform(F.array_intersect(words, F.array(*map(F.lit, indexed))), lambda w: F.element_at(postings, w))))
 
         def fits(t: Column) -> Column:
@@ -115,13 +127,34 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             room = F.least(t["m"] - F.array_position(t["words"], first), F.size(words) - F.array_position(words, first)) + 1
             return (F.size(words) >= t["need"]) & (room >= t["need"]) & (F.size(common) >= t["need"])
 
-        share = lambda t: F.size(F.array_intersect(t["words"], words)) / t["m"]
-        return F.transform(F.filter(candidates, fits), lambda t: F.struct(t["label"].alias("label"), share(t).alias("share")))
+        return F.filter(candidates, fits)
+
+    def match(t: Column, common: Column) -> Column:
+        return F.struct(t["label"].alias("label"), (common / t["m"]).alias("share"))
+
+    def hits(words: Column) -> Column:
+        """Matches of one block: label and containment."""
+        return F.transform(fitting(words), lambda t: match(t, F.size(F.array_intersect(t["words"], words))))
+
+    def window_hits(paragraph: Column) -> Column:
+        """Matches of the windows of one paragraph: label and the best containment."""
+
+        def best(t: Column) -> Column:
+            words = F.transform(F.regexp_extract_all(paragraph, F.lit(_WORD + "+"), F.lit(0)), F.lower)
+            starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(t["words"], F.element_at(w, i)))
+            common = lambda w, i: F.size(F.array_intersect(t["words"], F.slice(w, i, t["window"])))
+            # An array of one, so that the words are taken out once.
+            return match(t, F.element_at(F.transform(F.array(words), lambda w: F.array_max(F.transform(starts(w), lambda i: common(w, i)))), 1))
+
+        return F.filter(F.transform(fitting(block_words(paragraph, vocabulary)), best), lambda x: x["share"] >= F.lit(threshold - 1e-9))
 
     # A block is split into words only if it holds an indexed one.
     near = F.filter(F.split(text, _BLOCKS), lambda b: b.rlike(_whole(indexed)))
     long = F.filter(F.transform(near, lambda b: block_words(b, vocabulary)), lambda w: F.size(w) >= least)
-    matches = F.when(text.rlike(_whole(indexed)), F.flatten(F.transform(long, hits))).otherwise(F.expr("array()").cast("array<struct<label:string,share:double>>"))
+    # Windows within one line of one sentence hold no more than its block.
+    wrapped = F.filter(F.split(text, _PARAGRAPHS), lambda p: p.rlike(_BLOCKS) & p.rlike(_whole(indexed)))
+    found = F.concat(F.flatten(F.transform(long, hits)), F.flatten(F.transform(wrapped, window_hits)))
+    matches = F.when(text.rlike(_whole(indexed)), found).otherwise(F.expr("array()").cast("array<struct<label:string,share:double>>"))
     out = rows.select("doc_id", "text", word_count(text).alias("n_words"), n_base.alias("n_base"), matches.alias("matches"))
     out = out.withColumn("base", F.when(F.col("n_base") > 0, base).otherwise(F.expr("array()").cast("array<string>")))
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

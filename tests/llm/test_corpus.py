@@ -410,6 +410,25 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, wrapped as usual, narrowly and as comments; not words that are scattered."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    narrow = lambda t, start="": "\n".join(start + w for w in t.split())
+    rows = {}
+    for k, (text, label) in enumerate([(bsd, "bsd"), (mpl, "mpl-2.0"), (gpl, "gpl"), ("some code\nAll rights\r\nreserved.", "reserved")]):
+        around = "x = 1\n\n" + text + "\n\nimport y"
+        for j, whole in enumerate([text, around, narrow(text), "/*\n" + narrow(text, " * "), "# " + text.replace("\n", "\n# "), text.replace("\n", "\r\n")]):
+            rows[10 * k + j] = (whole, label)
+    scattered = "all of us\nhave some rights here\nand seats that are reserved"
+    apart = "released under\n \nthe mit license"
+    rows |= {90: (scattered, ""), 91: (apart, ""), 92: ("\n".join(w + " filler text" for w in bsd.split()), "")}
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(k, t, "", "") for k, (t, _) in rows.items()])).collect()}
+    assert {k: r.labels for k, r in got.items()} == {k: label for k, (_, label) in rows.items()}
+    assert got[0].score == got[10].score == 1.0 and got[90].score == 0.0
+
+
 # --- quality --------------------------------------------------------------------------
 def test_quality(spark):
     rnd = random.Random(11)
