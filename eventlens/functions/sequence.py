@@ -42,9 +42,10 @@ def _sequence(pattern, ts, conditions, order_by, on_error, compat, counts: bool)
     if parts is None or len(known) > P.MOST_CODED:
         _, events = matching(ts, given, order_by)
 
+        match = P.Matcher(steps)
+
         def run(g: Group):
-            times, masks = g["ts"].tolist(), g["mask"].tolist()
-            return P.count_matches(steps, times, masks) if counts else P.first_match(steps, times, masks) is not None
+            return match.count(g["ts"], g["mask"]) if counts else match.first(g["ts"], g["mask"]) is not None
 
         found = over_groups(run, kind, events)
     elif not parts:  # nothing but skips: every event is a match of its own
@@ -61,7 +62,7 @@ def sequence_match(pattern: str, ts: args.ColumnLike, *conditions: args.ColumnLi
 
     Null without rows; an invalid pattern raises, or gives null with ``on_error='null'``.
     Patterns without time tests are one linear regular expression over the encoded events;
-    others are matched in an Arrow function.
+    others are matched in an Arrow function, in time proportional to events times steps.
     """
     return _sequence(pattern, ts, conditions, order_by, on_error, compat, counts=False)
 
@@ -78,5 +79,6 @@ def sequence_match_events(pattern: str, ts: args.ColumnLike, *conditions: args.C
     _, events = matching(ts, given, order_by)
     if steps is None:
         return F.transform(F.slice(events, 1, 0), lambda e: e["ts"])
-    taken = over_groups(lambda g: P.first_match(steps, g["ts"].tolist(), g["mask"].tolist()) or [], "array<int>", events)
+    match = P.Matcher(steps)
+    taken = over_groups(lambda g: match.first(g["ts"], g["mask"]) or [], "array<int>", events)
     return F.transform(taken, lambda k: F.get(events, k)["ts"])

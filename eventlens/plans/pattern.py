@@ -7,11 +7,11 @@ to the next one. Blanks may stand between steps.
 
 from __future__ import annotations
 
-import operator
 import re
 from dataclasses import dataclass
 
-OPERATORS = {">=": operator.ge, "<=": operator.le, "==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt}
+import numpy as np
+
 #: Conditions that one character of an encoded sequence may tell apart.
 MOST_CODED = 8
 
@@ -43,9 +43,6 @@ class Wait:
     test: str
     seconds: int
 
-    def passes(self, seconds: int) -> bool:
-        return OPERATORS[self.test](seconds, self.seconds)
-
 
 Step = Take | Skip | Wait
 _TOKEN = re.compile(r"(?P<blank>\s+)|(?P<skip>\.\*)|(?P<any>\.)|\(\?(?P<take>\d+)\)|\(\?t(?P<test>>=|<=|==|!=|>|<)(?P<n>\d+)\)")
@@ -137,63 +134,131 @@ def regex(parts: list[list[Take]], known: list[int], arity: int) -> str:
     return r"\G" + "".join(rf"(?>[\s\S]*?{''.join(map(one, block))})" for block in parts)
 
 
-def match_at(steps: list[Step], times, masks, start: int) -> list[tuple[int, bool]] | None:
-    """Events taken by the first match that begins at ``start``, skipping as little as possible.
+@dataclass(frozen=True)
+class Gap:
+    """What stands between two takes, before the first or after the last one."""
+
+    now: tuple[Wait, ...]  # tests of the very next event
+    far: tuple[tuple[Wait, ...], ...]  # tests of an event after a skip, for each skip
+
+
+def gaps(steps: list[Step]) -> tuple[list[Take], list[Gap]]:
+    """The takes of a pattern, and the gaps around them, one more than takes."""
+    takes: list[Take] = []
+    open_: list[list[list[Wait]]] = [[[]]]
+    for s in steps:
+        if isinstance(s, Take):
+            takes.append(s)
+            open_.append([[]])
+        elif isinstance(s, Skip):
+            open_[-1].append([])
+        else:
+            open_[-1][-1].append(s)
+    return takes, [Gap(tuple(g[0]), tuple(map(tuple, g[1:]))) for g in open_]
+
+
+def spans(waits: tuple[Wait, ...]) -> list[tuple[int, int]]:
+    """The microseconds, as rising half-open ranges, that pass all of the tests."""
+    end, second = 1 << 62, 1_000_000
+    found = [(0, end)]
+    for w in waits:
+        n, m = min(w.seconds * second, end), min((w.seconds + 1) * second, end)
+        own = {">=": [(n, end)], ">": [(m, end)], "<=": [(0, m)], "<": [(0, n)], "==": [(n, m)], "!=": [(0, n), (m, end)]}[w.test]
+        found = [(max(a, c), min(b, d)) for a, b in found for c, d in own if max(a, c) < min(b, d)]
+    return found
+
 
-    Each is given with whether a condition took it. Failed states are remembered, so the
-    search is polynomial; None if nothing matches.
+class Matcher:
+    """The leftmost matches of a pattern, each skipping as little as possible.
+
+    From the last take to the first it is computed for all events at once whether the
+    rest of the pattern can follow, and with which next event. Times rise, so a test of
+    elapsed time allows ranges of events, whose ends are found by binary search. Both
+    time and memory are proportional to events times takes.
     """
-    n, timed = len(times), any(isinstance(s, Wait) for s in steps)
-    failed: set[tuple[int, int, int]] = set()
-    # (event, step, last event taken), each with the trail of taken events as linked pairs.
-    stack: list[tuple[int, int, int, tuple | None]] = [(start, 0, -1, None)]
-    while stack:
-        at, k, last, trail = stack.pop()
-        while True:
-            if k == len(steps):
-                out = []
-                while trail:
-                    out.append(trail[0])
-                    trail = trail[1]
-                return out[::-1]
-            state = (at, k, last if timed else -1)
-            if state in failed:
-                break
-            failed.add(state)
-            step = steps[k]
-            if isinstance(step, Skip):
-                if at < n:
-                    stack.append((at + 1, k, last, trail))
-                k += 1
-            elif isinstance(step, Wait):
-                if at >= n or last >= 0 and not step.passes((times[at] - times[last]) // 1_000_000):
-                    break
-                k += 1
-            else:
-                if at >= n or step.condition is not None and not masks[at] >> step.condition & 1:
-                    break
-                trail = ((at, step.condition is not None), trail)
-                last, at, k = at, at + 1, k + 1
-    return None
+
+    def __init__(self, steps: list[Step]):
+        self.takes, self.gaps = gaps(steps)
+        self.spans = [(spans(g.now), [spans(w) for w in g.far]) for g in self.gaps]
+
+    def _follow(self, k: int, times: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """For each event, taken as the one before gap ``k``, the next event, or n.
+
+        ``fits`` is, for each event, whether it may be the next one; it has one more than
+        there are events, so that an end after the last event can be told from none.
+        """
+        n, gap = len(times), self.gaps[k]
+        now, far = self.spans[k]
+        place = np.arange(n + 2)
+        following = np.minimum.accumulate(np.where(np.append(fits, False), place, n + 1)[::-1])[::-1]
+        at = np.arange(1, n + 1)
+        good = np.ones(n, bool)
+        if gap.now:
+            good = at < n
+            took = np.append(times, 0)[at] - times
+            good &= np.logical_or.reduce([(took >= a) & (took < b) for a, b in now]) if now else False
+        if not gap.far:
+            return np.where(good & np.append(fits, False)[at], at, n + 1)
+        for j, ranges in enumerate(far):
+            last, tested = j == len(far) - 1, bool(gap.far[j])
+            found = np.full(n, n + 1)
+            for a, b in ranges[::-1]:  # the first range that works wins
+                low = np.maximum(at, np.searchsorted(times, times + a, "left") if tested else 0)
+                high = np.searchsorted(times, times + b, "left") if tested else n + 1
+                event = following[np.minimum(low, n + 1)] if last else low
+                found = np.where(event < high, event, found)
+            good &= found <= n
+            at = np.where(good, found, n + 1)
+        return np.where(good, at, n + 1)
+
+    def _tables(self, times: np.ndarray, masks: np.ndarray) -> tuple[list[int], list[list[int]]]:
+        """The first event to take from each start, and from each event of a take the one of the next."""
+        n = len(times)
+        jumps: list[list[int]] = []
+        fits = np.ones(n + 1, bool)  # after the last take any place will do
+        for k in range(len(self.takes), 0, -1):
+            step = self.takes[k - 1].condition
+            able = np.ones(n, bool) if step is None else (masks >> step & 1).astype(bool) if step < 63 else np.zeros(n, bool)
+            jump = self._follow(k, times, fits)
+            fits = np.append(able & (jump <= n), False)
+            jumps.append(jump.tolist())
+        starts = np.minimum.accumulate(np.where(fits, np.arange(n + 1), n)[::-1])[::-1]
+        return starts.tolist(), jumps[::-1][:-1]
+
+    def first(self, times: np.ndarray, masks: np.ndarray) -> list[int] | None:
+        """The events that conditions took in the leftmost match."""
+        if not len(times):
+            return None
+        if not self.takes:
+            return []
+        starts, jumps = self._tables(times, masks)
+        at = starts[0]
+        if at == len(times):
+            return None
+        taken = [at]
+        for jump in jumps:
+            taken.append(jump[taken[-1]])
+        return [e for e, step in zip(taken, self.takes, strict=True) if step.condition is not None]
+
+    def count(self, times: np.ndarray, masks: np.ndarray) -> int:
+        """Leftmost matches that don't overlap; one that takes no event moves on by one."""
+        n = len(times)
+        if not n or not self.takes:
+            return n
+        starts, jumps = self._tables(times, masks)
+        total = start = 0
+        while start < n and (at := starts[start]) < n:
+            for jump in jumps:
+                at = jump[at]
+            total, start = total + 1, at + 1
+        return total
 
 
 def first_match(steps: list[Step], times, masks) -> list[int] | None:
     """The events that conditions took in the leftmost match."""
-    for start in range(len(times)):
-        found = match_at(steps, times, masks, start)
-        if found is not None:
-            return [k for k, taken in found if taken]
-    return None
+    return Matcher(steps).first(np.asarray(times, np.int64), np.asarray(masks, np.int64))
 
 
 def count_matches(steps: list[Step], times, masks) -> int:
-    """Leftmost matches that don't overlap; one that takes no event moves on by one."""
-    start = total = 0
-    while start < len(times):
-        found = match_at(steps, times, masks, start)
-        if found is None:
-            start += 1
-        else:
-            total += 1
-            start = found[-1][0] + 1 if found else start + 1
-    return total
+    """Leftmost matches that don't overlap."""
+    return Matcher(steps).count(np.asarray(times, np.int64), np.asarray(masks, np.int64))
