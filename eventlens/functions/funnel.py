@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from heapq import heappop, heappush
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,36 +43,81 @@ def _fold(found: Column, events: Column, steps: int, window: dt.timedelta, once:
     return F.size(F.filter(best, lambda v: v.isNotNull()))
 
 
-def reached(times, masks, steps: int, window: int, mode: Mode) -> int:
-    """Steps reached by the best entry, each entry scanned on its own under ``mode``."""
-    times, masks = times.tolist(), masks.tolist()
-    best = 0
-    for start, entry in enumerate(times):
-        if not masks[start] & 1:
-            continue
-        step, before = 1, entry
-        for k in range(start + 1, len(times)):
-            now, own = times[k], masks[k]
-            if now - entry > window:
-                break
-            advances = own >> step & 1
-            if mode & Mode.ALLOW_REENTRY and step > 1 and own & 1:
-                step, before = 1, now
+class ModalFunnel:
+    """Steps reached by the best chain, event by event, under any modes.
+
+    What a chain does next depends on its step and on whether it moved at this very time,
+    not on where it began. So chains that agree on both are one, of which the latest entry
+    lasts longest. With ``allow_reentry`` a chain that ends early may end higher than one
+    that lasts; there the entries of a chain are kept in a heap until they leave the
+    window. Events come sorted.
+    """
+
+    def __init__(self, steps: int, window: int, mode: Mode = Mode.DEFAULT):
+        self.steps, self.window, self.best = steps, window, 0
+        self.strict, self.order = bool(mode & Mode.STRICT), bool(mode & Mode.STRICT_ORDER)
+        self.rising = bool(mode & (Mode.TIMESTAMP_DEDUP | Mode.STRICT_INCREASE))
+        self.once, self.again = bool(mode & Mode.STRICT_ONCE), bool(mode & Mode.ALLOW_REENTRY)
+        # (step, time of the last move if that matters now) to the latest entry, or to the heap of all
+        self.chains: dict[tuple[int, int | None], int | list[int]] = {}
+
+    def _put(self, chains: dict, key: tuple[int, int | None], held: int | list[int]) -> None:
+        known = chains.get(key)
+        if known is None:
+            chains[key] = held
+        elif self.again:
+            large, small = (known, held) if len(known) >= len(held) else (held, known)
+            for entry in small:
+                heappush(large, entry)
+            chains[key] = large
+        else:
+            chains[key] = max(known, held)
+
+    def add(self, now: int, own: int) -> None:
+        if self.best == self.steps:
+            return
+        chains: dict[tuple[int, int | None], int | list[int]] = {}
+        for (step, moved), held in self.chains.items():
+            if self.again:
+                if now - held[0] > self.window:
+                    self.best = max(self.best, step)
+                    while held and now - held[0] > self.window:
+                        heappop(held)
+                if not held:
+                    continue
+            elif now - held > self.window:
                 continue
-            if mode & Mode.STRICT and own >> (step - 1) & 1 and not advances:
-                break
-            if mode & Mode.STRICT_ORDER and own & ((1 << step) - 1):
-                break
-            if advances and (mode & Mode.TIMESTAMP_DEDUP and now == before or mode & Mode.STRICT_INCREASE and now <= before):
+            advances = own >> step & 1
+            if self.again and step > 1 and own & 1:
+                step, moved = 1, now
+            elif self.strict and own >> (step - 1) & 1 and not advances or self.order and own & ((1 << step) - 1):
+                self.best = max(self.best, step)
                 continue
-            while step < steps and own >> step & 1:
-                step, before = step + 1, now
-                if mode & Mode.STRICT_ONCE:
-                    break
-            if step == steps:
-                return steps
-        best = max(best, step)
-    return best
+            elif advances and not (self.rising and moved == now):
+                step, moved = step + 1, now
+                while not self.once and step < self.steps and own >> step & 1:
+                    step += 1
+                if step == self.steps or not self.again:
+                    self.best = max(self.best, step)
+                if step == self.steps:
+                    return
+            self._put(chains, (step, moved if self.rising and moved == now else None), held)
+        if own & 1:
+            if not self.again:
+                self.best = max(self.best, 1)
+            self._put(chains, (1, now if self.rising else None), [now] if self.again else now)
+        self.chains = chains
+
+    def result(self) -> int:
+        return max([self.best, *(step for step, _ in self.chains)])
+
+
+def reached(times, masks, steps: int, window: int, mode: Mode) -> int:
+    """Steps reached by the best entry among sorted events under ``mode``."""
+    state = ModalFunnel(steps, window, mode)
+    for now, own in zip(times.tolist(), masks.tolist(), strict=True):
+        state.add(now, own)
+    return state.result()
 
 
 def window_funnel(
@@ -85,7 +131,7 @@ def window_funnel(
     conditions climbs as many steps. Rows without a timestamp are passed over, null
     conditions are false, events of no condition are dropped before the shuffle; groups
     without an entry have 0. Without a mode, or with ``strict_once`` alone, all is built-in
-    expressions; other modes scan every entry in an Arrow function.
+    expressions; other modes run through the events once in an Arrow function.
     """
     steps = args.conditions(conditions)
     length, modes = args.interval(window, on_error), args.mode(mode, on_error)
