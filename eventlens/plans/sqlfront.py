@@ -10,8 +10,8 @@ left alone. Patterns, modes, directions, bases and intervals must be literals.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
-import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -80,11 +80,13 @@ def _collect(ts: str, fields: dict[str, str], where: str, only: str) -> str:
     return f"collect_list(CASE WHEN ({ts}) IS NOT NULL AND ({where}) THEN named_struct({inner}) END){only}"
 
 
-def _register(spark: SparkSession, run: Callable, returns: str, kind: pa.DataType) -> str:
-    """An Arrow function over event arrays, under a name of its own."""
-    global _registered
-    _registered += 1
-    name = f"eventlens_{_registered}_{zlib.crc32(returns.encode()):x}"
+def _register(spark: SparkSession, what: tuple, run: Callable, returns: str, kind: pa.DataType) -> str:
+    """An Arrow function over event arrays, under a name that follows from ``what`` it does.
+
+    The same call again has the same name, so a session has one function for each
+    different pattern, mode or direction, however often it is used.
+    """
+    name = f"eventlens_{hashlib.blake2b(repr((*what, returns)).encode(), digest_size=12).hexdigest()}"
 
     def each(batch: pa.Array) -> pa.Array:
         return pa.array([run(g) for g in groups(batch)], kind)
@@ -94,9 +96,6 @@ def _register(spark: SparkSession, run: Callable, returns: str, kind: pa.DataTyp
     return name
 
 
-_registered = 0
-
-
 def _count_checked(conditions: list[str], least: int = 2) -> list[str]:
     if not least <= len(conditions) <= 32:
         raise SqlError(f"{least} to 32 conditions are needed, not {len(conditions)}")
@@ -112,7 +111,7 @@ def _funnel(spark: SparkSession, given: list[str], only: str) -> str:
     raw = _collect(ts, {"mask": bits}, f"({bits}) <> 0", only)
     if mode & ~Mode.STRICT_ONCE:
         most = args.micros(length)
-        name = _register(spark, lambda g: reached(g["ts"], g["mask"], n, most, mode), "int", pa.int32())
+        name = _register(spark, ("funnel", n, most, mode.value), lambda g: reached(g["ts"], g["mask"], n, most, mode), "int", pa.int32())
         return f"{name}(array_sort({raw}))"
     upward = "array(" + ", ".join(map(str, range(n - 1, 0, -1) if mode else range(1, n))) + ")"
     passed = f"transform(b, (v, i) -> CASE WHEN i = k THEN greatest(v, get(b, k - 1)) ELSE v END)"  # noqa: F541
@@ -141,14 +140,14 @@ def _sequence(kind: str):
             found = f"{text} RLIKE {expression}" if kind == "sequence_match" else f"CAST(regexp_count({text}, {expression}) AS BIGINT)"
             return f"CASE WHEN count(1){only} > 0 THEN {found} END"
         raw = f"array_sort({_collect(ts, {'mask': bits}, f'({bits}) <> 0', only)})"
-        plain = lambda g: (g["ts"].tolist(), g["mask"].tolist())
+        match, what = P.Matcher(steps), (kind, steps)
         if kind == "sequence_match_events":
-            name = _register(spark, lambda g: P.first_match(steps, *plain(g)) or [], "array<int>", pa.list_(pa.int32()))
+            name = _register(spark, what, lambda g: match.first(g["ts"], g["mask"]) or [], "array<int>", pa.list_(pa.int32()))
             return f"transform({name}({raw}), k -> get({raw}, k).ts)"
         if kind == "sequence_match":
-            name = _register(spark, lambda g: P.first_match(steps, *plain(g)) is not None, "boolean", pa.bool_())
+            name = _register(spark, what, lambda g: match.first(g["ts"], g["mask"]) is not None, "boolean", pa.bool_())
         else:
-            name = _register(spark, lambda g: P.count_matches(steps, *plain(g)), "bigint", pa.int64())
+            name = _register(spark, what, lambda g: match.count(g["ts"], g["mask"]), "bigint", pa.int64())
         return f"CASE WHEN count(1){only} > 0 THEN {name}({raw}) END"
 
     return rewrite
@@ -160,7 +159,7 @@ def _next_node(spark: SparkSession, given: list[str], only: str) -> str:
     fields = {"mask": _bits(steps), "value": f"CAST({value} AS STRING)", "base": f"coalesce(({start}), false)"}
     rows, n = f"array_sort({_collect(ts, fields, 'true', only)})", len(steps)
     slim = f"transform({rows}, e -> named_struct('mask', e.mask, 'base', e.base, 'known', e.value IS NOT NULL))"
-    name = _register(spark, lambda g: neighbour(g["mask"], g["base"], g["known"], n, way, base), "int", pa.int32())
+    name = _register(spark, ("next_node", way.value, base.value, n), lambda g: neighbour(g["mask"], g["base"], g["known"], n, way, base), "int", pa.int32())
     return f"get({rows}, {name}({slim})).value"
 
 
