@@ -16,22 +16,25 @@ def at(hours):
 @pytest.fixture(scope="module")
 def run(spark):
     tables = {
-        "commits": (
-            "who string, at timestamp_ntz, lines int, fix boolean",
-            [("ann", at(9), 900, False), ("ann", at(10), 20, True), ("ann", at(15.5), 5, False), ("ben", at(8), 30, True), ("ben", at(12), 700, False), ("ben", at(300), 3, True)],
+        "readings": (  # meters that send a value now and then
+            "meter string, sent timestamp_ntz, kw double",
+            [("north", at(0), 1.5), ("north", at(0.4), 9.0), ("north", at(0.5), 0.1), ("north", at(7), 2.0), ("south", at(1), 4.0), ("south", at(2), 4.5), ("south", None, 1.0)],
         ),
-        "reviews": (
-            "pr int, who string, at timestamp_ntz, what string",
-            [(1, "ann", at(1), "opened"), (1, "ann", at(5), "reviewed"), (1, "ann", at(20), "approved"), (1, "ann", at(26), "merged"),
-             (2, "ben", at(2), "opened"), (2, "ben", at(3), "reviewed"), (2, "ben", at(4), "approved"), (2, "ben", at(5), "merged"),
-             (3, "cid", at(2), "opened"), (3, "cid", at(40), "reviewed")],
+        "plays": (  # songs by listener; skipped ones end early
+            "listener int, began timestamp_ntz, song string, skipped boolean",
+            [(1, at(1), "ode", False), (1, at(1.1), "hymn", True), (1, at(1.2), "hymn", True), (1, at(1.3), "march", False), (1, at(1.4), "hymn", True),
+             (2, at(2), "march", False), (2, at(2.5), "ode", True), (2, at(3), "ode", False), (3, at(5), "waltz", True)],
         ),
-        "builds": (
-            "who string, at timestamp_ntz, what string",
-            [("ann", at(1), "push"), ("ann", at(2), "pass"), ("ben", at(1), "push"), ("ben", at(2), "fail"), ("ben", at(3), "push"), ("ben", at(4), "pass"), ("ben", at(5), "push"), ("ben", at(6), "fail"), ("ben", at(7), "push")],
+        "parcels": (  # scans on the way of a parcel
+            "parcel string, scanned timestamp_ntz, place string",
+            [("p1", at(0), "depot"), ("p1", at(6), "hub"), ("p1", at(7), "hub"), ("p1", at(30), "van"), ("p1", at(33), "door"),
+             ("p2", at(1), "depot"), ("p2", at(50), "van"), ("p2", at(51), "depot"), ("p2", at(52), "van"), ("p2", at(52.5), "door"),
+             ("p3", at(2), "hub"), ("p3", at(3), "door")],
+        ),
+        "lessons": (  # pupils' lessons of a course of three units
+            "pupil int, day int, unit int, passed boolean",
+            [(1, 1, 1, True), (1, 2, 2, True), (1, 9, 3, None), (2, 1, 1, False), (2, 3, 1, True), (2, 4, 3, True), (3, 2, 2, True)],
         ),
-        "files": ("who string, at timestamp_ntz, path string", [("ann", at(1), "parse"), ("ann", at(2), "run"), ("ann", at(3), "parse"), ("ben", at(1), "tree"), ("ben", at(2), "parse"), ("cid", at(4), "parse")]),
-        "months": ("who string, first int, active int", [("ann", 1, 1), ("ann", 1, 2), ("ann", 1, 4), ("ben", 2, 3), ("cid", 3, 3)]),
         "pages": (
             "who int, at timestamp_ntz, page string, device string",
             [(1, at(1), "home", "web"), (1, at(1.2), "product", "web"), (1, at(1.3), "cart", "web"), (1, at(9), "home", "web"), (2, at(1), "product", "app"), (2, at(2), "home", "app"), (3, at(5), "home", "web")],
@@ -42,41 +45,57 @@ def run(spark):
     return lambda text: [tuple(r) for r in sql(spark, text).collect()]
 
 
-def test_work_sessions(run):
-    text = "SELECT who, at, sessionize(at, INTERVAL '4 hours') OVER (PARTITION BY who ORDER BY at) AS s FROM ex_commits ORDER BY who, at"
-    assert [r[2] for r in run(text)] == [1, 1, 2, 1, 1, 2]
+def test_outages_of_meters(run):
+    """Stretches of readings less than 25 minutes apart, and the power used in each."""
+    text = """SELECT meter, stretch, COUNT(*) AS readings, MAX(kw) AS peak
+        FROM (SELECT meter, kw, sessionize(sent, INTERVAL '25 minutes') OVER (PARTITION BY meter ORDER BY sent) AS stretch FROM ex_readings WHERE sent IS NOT NULL)
+        GROUP BY meter, stretch ORDER BY meter, stretch"""
+    assert run(text) == [("north", 1, 3, 9.0), ("north", 2, 1, 2.0), ("south", 1, 1, 4.0), ("south", 2, 1, 4.5)]
+
+
+def test_units_passed(run):
+    """Share of those who passed the first unit who passed each other one; null grades don't count."""
+    text = """SELECT COUNT_IF(r[0]) AS began, COUNT_IF(r[1]) AS second, COUNT_IF(r[2]) AS third FROM
+        (SELECT pupil, retention(unit = 1 AND passed, unit = 2 AND passed, unit = 3 AND passed) AS r FROM ex_lessons GROUP BY pupil)"""
+    assert run(text) == [(2, 1, 1)]
 
 
-def test_contributor_retention(run):
-    text = "SELECT who, retention(active = first, active = first + 1, active = first + 2, active = first + 3) AS r FROM ex_months GROUP BY who ORDER BY who"
-    assert run(text) == [("ann", [True, True, False, True]), ("ben", [False] * 4), ("cid", [True, False, False, False])]
+def test_skipping_streaks(run):
+    text = "SELECT listener, sequence_count('(?1)(?1)', began, skipped, NOT skipped) AS n, sequence_match('(?2)(?1).*(?2)', began, skipped, NOT skipped) AS m FROM ex_plays GROUP BY listener ORDER BY listener"
+    assert run(text) == [(1, 1, True), (2, 0, True), (3, 0, False)]
 
 
-def test_fix_after_large_change(run):
-    text = "SELECT who, sequence_match('(?1)(?t<=604800)(?2)', at, lines > 500, fix) AS m FROM ex_commits GROUP BY who ORDER BY who"
-    assert run(text) == [("ann", True), ("ben", False)]
+def test_slow_legs_of_parcels(run):
+    """A van that leaves 12 to 48 hours after a hub, whatever is scanned between; and the times of that leg."""
+    text = """SELECT parcel, sequence_match('(?1).*(?t>=43200)(?t<172800)(?2)', scanned, place = 'hub', place = 'van') AS slow,
+               transform(sequence_match_events('(?1).*(?t>=43200)(?t<172800)(?2)', scanned, place = 'hub', place = 'van'), t -> hour(t)) AS hours
+        FROM ex_parcels GROUP BY parcel ORDER BY parcel"""
+    assert run(text) == [("p1", True, [6, 6]), ("p2", False, []), ("p3", False, [])]
 
 
-def test_one_condition_used_twice(run):
-    text = "SELECT who, sequence_count('(?1)(?2)(?3)', at, what = 'push', what = 'fail', what = 'push') AS n FROM ex_builds GROUP BY who ORDER BY who"
-    assert run(text) == [("ann", 0), ("ben", 2)]
+def test_delivery_depth_by_strictness(run):
+    """Depot, van, door within two days: from any depot scan, and without going back to the depot."""
+    steps = "place = 'depot', place = 'van', place = 'door'"
+    text = f"""SELECT parcel, window_funnel(INTERVAL '2 days', scanned, {steps}) AS free, window_funnel(INTERVAL '1 hour', scanned, {steps}) AS quick,
+               window_funnel(INTERVAL '3 days', 'strict_order', scanned, {steps}) AS ordered FROM ex_parcels GROUP BY parcel ORDER BY parcel"""
+    assert run(text) == [("p1", 3, 1, 3), ("p2", 3, 2, 3), ("p3", 0, 0, 0)]
 
 
-def test_review_funnel_and_times(run):
-    steps = "what = 'opened', what = 'reviewed', what = 'approved', what = 'merged'"
-    assert run(f"SELECT who, window_funnel(INTERVAL '24 hours', at, {steps}) AS f FROM ex_reviews GROUP BY who ORDER BY who") == [("ann", 3), ("ben", 4), ("cid", 1)]
-    found = run(f"SELECT pr, sequence_match_events('(?1)(?2)(?3)(?4)', at, {steps}) AS e FROM ex_reviews GROUP BY pr ORDER BY pr")
-    assert found == [(1, [at(1), at(5), at(20), at(26)]), (2, [at(2), at(3), at(4), at(5)]), (3, [])]
-    text = f"""WITH m AS (SELECT pr, sequence_match_events('(?1).*(?4)', at, {steps}) AS e FROM ex_reviews GROUP BY pr)
-        SELECT pr, timestampdiff(HOUR, e[0], e[1]) AS h FROM m WHERE size(e) = 2 ORDER BY pr"""
-    assert run(text) == [(1, 25), (2, 3)]
+def test_what_is_played_around_a_song(run):
+    text = "SELECT listener, sequence_next_node('backward', 'first_match', began, song, song = 'hymn' OR song = 'ode', skipped) AS n FROM ex_plays GROUP BY listener ORDER BY listener"
+    assert run(text) == [(1, "march"), (2, "march"), (3, None)]
+    text = "SELECT listener, sequence_next_node('forward', 'head', began, song, true, NOT skipped, skipped) AS n FROM ex_plays GROUP BY listener ORDER BY listener"
+    assert run(text) == [(1, "hymn"), (2, "ode"), (3, None)]
 
 
-def test_next_file(run):
-    text = "SELECT who, sequence_next_node('forward', 'first_match', at, path, path = 'parse', path = 'parse') AS n FROM ex_files GROUP BY who ORDER BY who"
-    assert run(text) == [("ann", "run"), ("ben", None), ("cid", None)]
-    text = "SELECT who, sequence_next_node('backward', 'tail', at, path, path = 'parse', path = 'parse') AS n FROM ex_files GROUP BY who ORDER BY who"
-    assert run(text) == [("ann", "run"), ("ben", "tree"), ("cid", None)]
+def test_functions_are_registered_once(spark, run):
+    """The same call twice leaves one function in the session."""
+    count = lambda: spark.sql("SHOW USER FUNCTIONS LIKE 'eventlens_*'").count()
+    text = "SELECT sequence_match('(?1)(?t<77)(?2)', began, skipped, NOT skipped) AS m FROM ex_plays"
+    run(text)
+    known = count()
+    run(text)
+    assert count() == known
 
 
 def test_drop_off_report(run):

@@ -1,5 +1,7 @@
 """Properties of the matchers and scans, without a session."""
 
+import time
+
 import models
 import numpy as np
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from eventlens.args import Base, Direction, Mode
 from eventlens.functions.funnel import reached
 from eventlens.functions.next_node import neighbour
-from eventlens.operators.streamed import ChainState, FunnelState
+from eventlens.operators.streamed import ChainState, FunnelState, NextNodeState
 from eventlens.plans import pattern as P
 
 SECOND = 1_000_000
@@ -90,3 +92,28 @@ def test_parser_reads_or_tells_where(text):
         assert 0 <= e.position <= len(text)
     else:
         assert steps
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.sets(st.integers(0, 2)), st.sampled_from(["a", "b", None]), st.booleans()), max_size=10), st.integers(1, 3))
+def test_streamed_neighbours(events, steps):
+    events = [(t, {c for c in cs if c < steps}, v, b) for t, cs, v, b in events]
+    for way in Direction:
+        for which in Base:
+            state = NextNodeState(steps, which, way is Direction.FORWARD)
+            for _, cs, value, base in events if way is Direction.FORWARD else events[::-1]:
+                state.add(mask(cs), base, value)
+            assert state.result() == models.next_node(way.value, which.value, events, steps), (way, which)
+
+
+def test_many_events_of_one_group():
+    """Ten thousand matching events are a matter of seconds for timed patterns and for every set of modes."""
+    n, began = 10_000, time.process_time()
+    times = np.arange(n, dtype=np.int64) * SECOND
+    ones = np.ones(n, np.int64)
+    for text, want in (("(?1).*(?t>=1)(?1).*(?2)", 0), ("(?1).*(?t<=600)(?2)", 0), ("(?1).*(?t==7)(?1)", n // 8), ("(?1).*(?t!=1)(?1)(?t>=1).*(?t<5).", n // 4)):
+        assert P.Matcher(P.parse(text)).count(times, ones) == want, text
+    masks = np.random.default_rng(1).choice([1, 1, 2, 3, 4], n)
+    for modes in models.MODE_SETS:
+        assert 1 <= reached(times, masks, 5, 10**15, Mode(sum(Mode[m.upper()] for m in modes))) <= 3
+    assert time.process_time() - began < 60
