@@ -6,6 +6,7 @@ numbered rows, modes a recursive walk, patterns regular expressions or self-join
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import eventlens as E
 from eventlens.args import Mode
+from eventlens.operators.streamed import large_chain_count, large_funnel, large_next_node
 from eventlens.plans import recipes as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,18 +211,45 @@ a AS (SELECT user_id, MIN(ts) AS t1 FROM s WHERE event_type = 'signup' GROUP BY
 b AS (SELECT a.*, (SELECT MIN(ts) FROM s WHERE s.user_id = a.user_id AND event_type = 'click' AND ts > t1) AS t2 FROM a),
 c AS (SELECT b.*, (SELECT MIN(ts) FROM s WHERE s.user_id = b.user_id AND event_type = 'error' AND ts > t2) AS t3 FROM b)
 """
+
+
+def _micros(found: DataFrame, name: str = "at") -> DataFrame:
+    """Lists of timestamps as lists of microseconds, which every engine writes alike."""
+    return found.withColumn(name, F.transform(name, lambda t: F.unix_micros(t.cast("timestamp"))))
+
+
+NO_TIMES = "CAST([] AS BIGINT[])"
 add(
     "sequence_match_events",
-    TIMES + "SELECT u.user_id, CASE WHEN t3 IS NULL THEN CAST([] AS TIMESTAMP[]) ELSE [t1, t2, t3] END AS at FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN c USING (user_id)",
-    lambda e: e.groupBy("user_id").agg(E.sequence_match_events("(?1).*(?2).*(?3)", "ts", SIGNUP, CLICK, ERROR).alias("at")),
+    TIMES + f"""SELECT u.user_id, CASE WHEN t3 IS NULL THEN {NO_TIMES} ELSE [epoch_us(t1), epoch_us(t2), epoch_us(t3)] END AS at
+        FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN c USING (user_id)""",
+    lambda e: _micros(e.groupBy("user_id").agg(E.sequence_match_events("(?1).*(?2).*(?3)", "ts", SIGNUP, CLICK, ERROR).alias("at"))),
 )
+#: Per user the earliest signup with an error in a range of seconds after it, and the first such error.
+TIMED = """
+WITH a AS (SELECT user_id, ts AS t1 FROM events WHERE event_type = 'signup'),
+m AS (SELECT a.user_id, t1, MIN(b.ts) AS t2 FROM a JOIN events b ON b.user_id = a.user_id AND b.event_type = 'error' AND b.ts > t1
+          AND (epoch_us(b.ts) - epoch_us(t1)) // 1000000 {test} GROUP BY 1, 2),
+f AS (SELECT user_id, arg_min([epoch_us(t1), epoch_us(t2)], t1) AS at FROM m GROUP BY 1)
+"""
+for _name, _test, _sql in (("le", "<=36000", "<= 36000"), ("ge", ">=86400", ">= 86400"), ("between", ">=7200)(?t<90000", "BETWEEN 7200 AND 89999")):
+    add(
+        f"sequence_match_events_{_name}",
+        TIMED.format(test=_sql) + f"SELECT u.user_id, COALESCE(f.at, {NO_TIMES}) AS at FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN f USING (user_id)",
+        lambda e, t=_test: _micros(e.groupBy("user_id").agg(E.sequence_match_events(f"(?1).*(?t{t})(?2)", "ts", SIGNUP, ERROR).alias("at"))),
+    )
+    add(
+        f"sequence_wildcard_time_{_name}",
+        TIMED.format(test=_sql) + "SELECT DISTINCT user_id, user_id IN (SELECT user_id FROM f) AS matched FROM events",
+        lambda e, t=_test: e.groupBy("user_id").agg(E.sequence_match(f"(?1).*(?t{t})(?2)", "ts", SIGNUP, ERROR).alias("matched")),
+    )
 add(
     "sequence_match_events_adjacent",
     """WITH n AS (SELECT user_id, ts, event_type, LEAD(ts) OVER w AS t2, LEAD(event_type) OVER w AS e2 FROM events WHERE event_type IN ('view', 'click')
                   WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-       f AS (SELECT user_id, arg_min([ts, t2], ts) AS at FROM n WHERE event_type = 'view' AND e2 = 'click' GROUP BY 1)
-       SELECT u.user_id, COALESCE(f.at, CAST([] AS TIMESTAMP[])) AS at FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN f USING (user_id)""",
-    lambda e: e.groupBy("user_id").agg(E.sequence_match_events("(?1)(?2)", "ts", VIEW, CLICK).alias("at")),
+       f AS (SELECT user_id, arg_min([epoch_us(ts), epoch_us(t2)], ts) AS at FROM n WHERE event_type = 'view' AND e2 = 'click' GROUP BY 1)
+       SELECT u.user_id, COALESCE(f.at, CAST([] AS BIGINT[])) AS at FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN f USING (user_id)""",
+    lambda e: _micros(e.groupBy("user_id").agg(E.sequence_match_events("(?1)(?2)", "ts", VIEW, CLICK).alias("at"))),
 )
 add(
     "step_times",
@@ -304,3 +333,93 @@ add(
         FROM k JOIN f USING (user_id) JOIN t USING (user_id)""",
     lambda e: R.scorecard(e, ["user_id"], "ts", DAY, STEPS, "(?1).*(?3)"),
 )
+
+# --- conditions that overlap, timestamps that are null ----------------------------------
+#: Codes of the events of 0 or more of two overlapping conditions: a, b, or c for both.
+OVERLAPPING = """
+WITH t AS (SELECT user_id, COALESCE(string_agg(CASE WHEN event_type = 'click' THEN CASE WHEN value > 50 THEN 'c' ELSE 'a' END WHEN value > 50 THEN 'b' END, '' ORDER BY ts), '') AS code
+           FROM events GROUP BY user_id)
+"""
+add(
+    "sequence_overlapping",
+    OVERLAPPING + "SELECT user_id, regexp_matches(code, '[ac].*?[bc]') AS matched, CAST(len(regexp_extract_all(code, '[ac].*?[bc]')) AS BIGINT) AS matches FROM t",
+    lambda e: R.pattern_by_user(e, ["user_id"], "(?1).*(?2)", "ts", (CLICK, "value > 50")),
+)
+add(
+    "null_timestamps",
+    SESSIONS.replace("FROM events", "FROM (SELECT * FROM events WHERE event_type <> 'error')") + """,
+        k AS (SELECT user_id, MAX(session_id) AS sessions FROM s GROUP BY 1),
+        n AS (SELECT user_id, event_type, LEAD(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS e2 FROM events WHERE event_type IN ('view', 'click')),
+        q AS (SELECT user_id, COUNT(*) AS matches FROM n WHERE event_type = 'view' AND e2 = 'click' GROUP BY 1)
+        SELECT u.user_id, sessions, COALESCE(matches, 0) AS matches, CAST(COALESCE(step, 0) AS INTEGER) AS step
+        FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k USING (user_id) LEFT JOIN q USING (user_id)
+        LEFT JOIN (SELECT user_id, MAX(CASE WHEN event_type = 'view' THEN 1 END) AS step FROM events GROUP BY 1) USING (user_id)""",
+    lambda e: (lambda nulled: nulled.groupBy("user_id").agg(
+        E.sequence_count("(?1)(?2)", "ts", VIEW, CLICK).alias("matches"), E.window_funnel("1 day", "ts", VIEW, ERROR).alias("step"),
+    ).join(E.session_count(nulled, "ts", GAP, ["user_id"]), "user_id"))(e.withColumn("ts", F.when(F.col("event_type") != "error", F.col("ts")))),
+)
+
+# --- the SQL front end, and groups of any size ------------------------------------------
+def add_sql(name: str, sql: str, text: str) -> None:
+    """Register a query that calls the functions by name in SQL."""
+    from eventlens.plans.sqlfront import sql as run
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        view = f"events_{zlib.crc32(sf_dir.encode()):x}"
+        events(spark, sf_dir).createOrReplaceTempView(view)
+        return run(spark, text.replace("{events}", view))
+
+    QUERIES[name], ORACLES[name] = query, sql
+
+
+add_sql(
+    "sql_visits",
+    SESSIONS.replace("INTERVAL 6 HOUR", "INTERVAL 90 MINUTE") + "SELECT user_id, session_id, COUNT(*) AS events, SUM(value) > 100 AS large FROM s WHERE user_id % 2 = 0 GROUP BY ALL",
+    """SELECT user_id, session_id, COUNT(*) AS events, SUM(value) > 100 AS large FROM
+        (SELECT *, sessionize(ts, INTERVAL '90 minutes') OVER (PARTITION BY user_id ORDER BY ts) AS session_id FROM {events} WHERE user_id % 2 = 0) GROUP BY user_id, session_id""",
+)
+add_sql(
+    "sql_big_spenders_return",
+    """WITH u AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 80) AS a, bool_or(event_type = 'error') AS b, bool_or(value < 1) AS c FROM events GROUP BY 1)
+        SELECT a, COUNT(*) AS users, COUNT(*) FILTER (a AND b) AS failed, COUNT(*) FILTER (a AND c) AS small FROM u GROUP BY a""",
+    f"""SELECT r[0] AS a, COUNT(*) AS users, COUNT_IF(r[1]) AS failed, COUNT_IF(r[2]) AS small FROM
+        (SELECT user_id, retention({BUY} AND value > 80, {ERROR}, value < 1) AS r FROM {{events}} GROUP BY user_id) GROUP BY r[0]""",
+)
+add_sql(
+    "sql_signup_funnel",
+    CHAIN.replace("'view'", "'signup'").replace("'click'", "'view'").replace("INTERVAL 1 DAY", "INTERVAL 3 DAY") + "SELECT step, COUNT(*) AS users FROM f GROUP BY step",
+    f"SELECT step, COUNT(*) AS users FROM (SELECT user_id, window_funnel(INTERVAL '3 days', ts, {SIGNUP}, {VIEW}, {BUY}) AS step FROM {{events}} GROUP BY user_id) GROUP BY step",
+)
+add_sql(
+    "sql_error_then_purchase",
+    """WITH n AS (SELECT user_id, ts, event_type, LEAD(ts) OVER w AS t2, LEAD(event_type) OVER w AS e2 FROM events WHERE event_type IN ('error', 'purchase')
+                  WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+       SELECT user_id, COUNT(*) FILTER (event_type = 'error' AND e2 = 'purchase' AND (epoch_us(t2) - epoch_us(ts)) // 1000000 > 1800) > 0 AS slow FROM
+       (SELECT * FROM n UNION ALL SELECT user_id, NULL, NULL, NULL, NULL FROM events) GROUP BY user_id""",
+    f"SELECT user_id, sequence_match('(?1)(?t>1800)(?2)', ts, {ERROR}, {BUY}) AS slow FROM {{events}} GROUP BY user_id",
+)
+add_sql(
+    "sql_click_runs",
+    CODED + "SELECT user_id, CAST(len(regexp_extract_all(code, 'ccc')) AS BIGINT) AS triples FROM t",
+    f"SELECT user_id, sequence_count('(?2)(?2)(?2)', ts, {VIEW}, {CLICK}, {BUY}) AS triples FROM {{events}} GROUP BY user_id",
+)
+add_sql(
+    "sql_hours_to_error",
+    TIMES + "SELECT user_id, CAST(floor((epoch_us(t3) - epoch_us(t1)) / 3.6e9) AS BIGINT) AS hours FROM c WHERE t3 IS NOT NULL",
+    f"""SELECT user_id, CAST(floor((unix_micros(CAST(at[2] AS TIMESTAMP)) - unix_micros(CAST(at[0] AS TIMESTAMP))) / 3.6e9) AS BIGINT) AS hours FROM
+        (SELECT user_id, sequence_match_events('(?1).*(?2).*(?3)', ts, {SIGNUP}, {CLICK}, {ERROR}) AS at FROM {{events}} GROUP BY user_id) WHERE size(at) = 3""",
+)
+add_sql(
+    "sql_after_last_error",
+    """WITH o AS (SELECT user_id, ts, event_type, LEAD(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events),
+       l AS (SELECT user_id, arg_max(nxt, ts) FILTER (nxt IS NOT NULL) AS node FROM o WHERE event_type = 'error' GROUP BY 1)
+       SELECT u.user_id, l.node FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l USING (user_id)""",
+    f"SELECT user_id, sequence_next_node('forward', 'last_match', ts, event_type, {ERROR}, {ERROR}) AS node FROM {{events}} GROUP BY user_id",
+)
+for _m in (Mode.STRICT_ORDER, Mode.STRICT_INCREASE, Mode.ALLOW_REENTRY):
+    add(f"large_funnel_{_m.name.lower()}", walk_sql(_m), lambda e, m=_m: large_funnel(e, ["user_id"], "2 days", "ts", *WIDE, mode=m))
+for _way in ("forward", "backward"):
+    for _base in ("tail", "first_match"):
+        _like = f"next_node_{_way}_{_base}_chain"
+        add(f"large_{_like}", ORACLES[_like], lambda e, w=_way, b=_base: large_next_node(e, ["user_id"], w, b, "ts", _PROPS, _BASE, BUY, VIEW, ERROR))
+add("large_chain_count", CODED + "SELECT user_id, CAST(len(regexp_extract_all(code, 'v.*?c.*?p')) AS BIGINT) AS matches FROM t", lambda e: large_chain_count(e, ["user_id"], "(?1).*(?2).*(?3)", "ts", *STEPS))
