@@ -1,9 +1,10 @@
-"""What the corpus operators share: table reading, checkpoints, the fold rule."""
+"""What the corpus operators share: table reading, tables that end lineage, the fold rule."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,37 +19,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, as the session's checkpoint folder.
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors see.
 
-    Only where that is unset (tests, a laptop) a folder of this machine is chosen.
+    Only where that is unset and the master is of this machine (tests, a laptop) is a
+    temporary folder taken; on a cluster an unset folder is an error.
     """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder; its lineage ends there.
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a folder in the shared one; what is written there goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    files, path = _file_system(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
-    A checkpoint keeps the size that was estimated for the plan before it. Over the rounds
-    of an iterative operator the estimates of joins would multiply into numbers of
-    millions of digits, so the checkpointed rows are taken up without them.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    written = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for folder in folders:
+        files, path = _file_system(spark, folder)
+        files.delete(path, True)
 
-def release(df: DataFrame) -> None:
-    """Ask the driver to collect its garbage.
 
-    Shuffle files and checkpoints that nothing refers to any more are deleted only then;
-    an iterative operator would pile them up while the driver's heap has room.
+class Scratch:
+    """Tables that one call of an operator writes and reads again, all below one folder.
+
+    Each ends the lineage of its rows: a lost executor costs the work since the last one.
+    Files tell the planner their true size.
     """
-    df.sparkSession._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder, self.many = spark, new_folder(spark, kind), 0
+        self.at: dict[int, str] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df``, written once."""
+        self.many += 1
+        folder = f"{self.folder}/{self.many}"
+        df.write.parquet(folder)
+        read = self.spark.read.schema(df.schema).parquet(folder)
+        self.at[id(read)] = folder
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``cut`` returned and that no later plan reads."""
+        delete(self.spark, *[self.at.pop(id(t)) for t in tables])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm._shared import WORD_PATTERN, cut
+from eventlens.llm._shared import WORD_PATTERN, Scratch
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -141,6 +141,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 def balanced_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` for each row of ``docs``."""
+    cut = Scratch(docs.sparkSession, "mix").cut
     sized = cut(sizes_of(docs))
     per = cut(targets(sized, weights, share, limit))
     many, largest = per.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0))).first()

@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm._shared import cut, release
+from eventlens.llm._shared import Scratch
 from eventlens.llm._shingles import mix, shingles
 
-#: Link if PERCENT of the union is common. Independent trees, largest leaf, deepest level.
-PERCENT, TREES, LEAF, DEPTH = 85, 10, 48, 4
+#: Link if PERCENT of the union is common. Independent trees, largest leaf, deepest level (branching ends once all nodes are small).
+PERCENT, TREES, LEAF, DEPTH = 85, 10, 48, 32
 #: Minima of a signature, of which the first are branched on and all give a bit.
 MINIMA, BRANCHED = 128, 64
 #: A node picks 1/PICK of a function for each vertex on average, and one at least.
@@ -54,6 +54,8 @@ PICK = 0.8
 STOP, REACH = 20, 56
 #: Vertices of a block that is compared with another: outside of a component, and near a pivot.
 BLOCK_OUT, BLOCK_NEAR = 512, 1024
+#: Bytes of text of one side of such a block, about.
+BLOCK_BYTES = 16 << 20
 
 _random = np.random.default_rng(20240229)
 _FACTOR = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,45 +176,48 @@ def _pair(x: Column, y: Column) -> list[Column]:
 _VERTEX = ("v", "n", "b0", "b1")
 
 
-def candidates(vertices: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    vertices: DataFrame, scratch: Scratch, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH
+) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b, far`` to confirm, and what stopped in large nodes.
 
     The latter has ``pivot, v``: what is near a pivot, of those pivots where any vertex
-    stopped. At the last level all vertices of large nodes stop.
+    stopped. At the last level, if it is reached, all vertices of large nodes stop.
     """
     rows = vertices.mapInArrow(_branch(trees), _ROW)
-    own, pairs, dense = F.struct(*_VERTEX), [], []
+    own, pairs, dense, written = F.struct(*_VERTEX), [], [], []
     for level in range(depth):
-        release(vertices)
-        sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(own).alias("pivot")).where("size > 1"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(own).alias("pivot")).where("size > 1")
         # Vertices that are alone in their node leave here. Written before it is grouped, this join may split.
-        met = cut(rows.join(sizes, "node").withColumn("pivot", F.when(F.col("size") > leaf, F.col("pivot"))))
+        met = scratch.cut(rows.join(sizes, "node").withColumn("pivot", F.when(F.col("size") > leaf, F.col("pivot"))))
+        written.append(met)
+        if level:
+            scratch.drop(rows)
         small = met.where(F.col("size") <= leaf).groupBy("node").agg(F.collect_list(own).alias("all"))
         one = small.select("all", F.explode("all").alias("x"))
         both = one.select("x", F.explode(F.filter("all", lambda y: y["v"] > F.col("x.v"))).alias("y"))
-        pairs.append(both.where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y"))).distinct())
+        pairs.append(both.where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y"))))
         large = met.where(F.col("size") > leaf).select("node", "used", own.alias("x"), F.col("pivot").alias("y"))
-        if large.isEmpty():
-            break
         large = large.withColumn("far", _far(F.col("x"), F.col("y")))
-        star = large.where("x.v <> y.v").where(_alike("x", "y", percent))
-        pairs.append(star.select(_pair(F.col("x"), F.col("y"))).distinct())
+        pairs.append(large.where("x.v <> y.v").where(_alike("x", "y", percent)).select(_pair(F.col("x"), F.col("y"))))
         last = level == depth - 1
         near = large.where(F.lit(last) | (F.col("far") <= most_from_pivot(percent)))
         stopped = F.lit(last) | (F.col("far") <= STOP) & (F.col("x.v") != F.col("y.v"))  # the pivot has met all
         dense.append(near.select(F.col("y.v").alias("pivot"), "x.v", stopped.alias("stopped")))
-        if not last:
-            on = large.where(F.col("far") > STOP).select("node", "used", "x.v")
-            rows = cut(on.join(vertices, "v").mapInArrow(_branch(trees), _ROW))
-    found = pairs[0]
+        on = large.where(F.col("far") > STOP).select("node", "used", "x.v")
+        if last or on.isEmpty():
+            break
+        rows = scratch.cut(on.join(vertices, "v").mapInArrow(_branch(trees), _ROW))
+    found, stops = pairs[0], dense[0]
     for x in pairs[1:]:
         found = found.unionByName(x)
-    stops = dense[0] if dense else vertices.sparkSession.createDataFrame([], "pivot long, v long, stopped boolean")
     for x in dense[1:]:
         stops = stops.unionByName(x)
-    stops = cut(stops.groupBy("pivot", "v").agg(F.bool_or("stopped").alias("stopped")))
-    used = cut(stops.where("stopped").select("pivot").distinct())  # where nothing stopped, nobody need be remembered
-    return cut(found.distinct()), cut(stops.select("pivot", "v").join(used, "pivot", "left_semi"))
+    found = scratch.cut(found.distinct())
+    stops = scratch.cut(stops.groupBy("pivot", "v").agg(F.bool_or("stopped").alias("stopped")))
+    scratch.drop(*written)
+    used = stops.where("stopped").select("pivot").distinct()  # where nothing stopped, nobody need be remembered
+    return found, scratch.cut(stops.select("pivot", "v").join(used, "pivot", "left_semi"))
 
 
 def _confirmed(percent: int):
@@ -237,32 +242,35 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``v, c``: for every linked vertex the smallest vertex that it reaches.
 
     Every vertex is hung below its smallest neighbour, chains are shortened, links are
-    renamed to roots, and so on until no link is left. Checkpointed once a round.
+    renamed to roots, and so on until no link is left. Written once a round.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    edges = scratch.cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     names = None
     while not edges.isEmpty():
-        release(edges)
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        above = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
-        above = cut(above.select(F.col("a").alias("v"), "up"))
+        direct = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
+        direct = scratch.cut(direct.select(F.col("a").alias("v"), "up"))
+        above = direct
         for _ in range(2):
             step = above.select(F.col("v").alias("up"), F.col("up").alias("further"))
             above = above.join(step, "up").select("v", F.col("further").alias("up"))
-        above = cut(above)
+        above = scratch.cut(above)
         root = above.select(F.col("v").alias("b"), F.col("up").alias("root_b"))
         moved = edges.join(above.select(F.col("v").alias("a"), F.col("up").alias("root_a")), "a").join(root, "b")
         moved = moved.where("root_a <> root_b").select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b"))
+        moved = scratch.cut(moved.distinct())
+        scratch.drop(edges, direct)
         if names is None:
             names = above.select("v", F.col("up").alias("c"))
         else:
             up = above.select(F.col("v").alias("c"), "up")
-            names = cut(names.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
-        edges = cut(moved.distinct())
+            names = scratch.cut(names.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
+        edges = moved
     return names if names is not None else links.select(F.col("a").alias("v"), F.col("b").alias("c"))
 
 
@@ -275,25 +283,30 @@ def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    cut = scratch.cut
     signed = cut(signatures(docs))
     own = F.struct(F.col("doc_id").alias("v"), "n", "b0", "b1", "least")
     vertices = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min(own).alias("x"))
     vertices = cut(vertices.select("key", "x.*"))
-    pairs, stops = candidates(vertices.drop("key"), percent, trees, leaf, depth)
+    pairs, stops = candidates(vertices.drop("key"), scratch, percent, trees, leaf, depth)
     near = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(stops.select("v"))
     texts = docs.select(F.col("doc_id").cast("long").alias("v"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = cut(texts.join(cut(near.distinct()), "v", "left_semi").groupBy("v").agg(F.min("text").alias("text")))
+    # Rows of one id and different texts are compared with each of them.
+    texts = texts.join(cut(near.distinct()), "v", "left_semi").groupBy("v", F.xxhash64("text").alias("mark")).agg(F.min("text").alias("text"))
+    texts = cut(texts.select("v", "text", F.octet_length("text").cast("long").alias("bytes")))
     closest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = cut(confirm(cut(closest), texts, percent))
-    names = components(links)
+    links = cut(confirm(closest, texts, percent))
+    names = components(links, scratch)
     links = cut(links.unionByName(confirm(cut(_apart(pairs, names)), texts, percent)))
-    names = components(links)
-    rest = cut(_residual(stops, names, texts, percent))
+    names = components(links, scratch)
+    rest = cut(_residual(stops, names, texts, percent, scratch))
     if not rest.isEmpty():
-        names = components(links.unionByName(rest))
+        names = components(links.unionByName(rest), scratch)
     of_key = vertices.select("key", "v").join(names, "v", "left").select("key", F.coalesce("c", "v").alias("c"))
     rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
     joined = rows.join(cut(of_key), "key", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    scratch.drop(texts)
     kept = F.coalesce(F.col("c") == F.col("doc_id"), F.lit(True))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), kept.alias("kept"))
 
@@ -320,21 +333,22 @@ def cross_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, c
     return (common > 0) & (100 * common >= percent * whole)
 
 
-def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between vertices near one pivot that aren't connected yet.
 
     What is outside the largest component near the pivot meets all that is near it, in a
     grid of blocks of bounded size. Of the links between two components one is enough.
     """
-    named = cut(stops.join(names, "v", "left").withColumn("c", F.coalesce("c", "v")))
-    main = named.groupBy("pivot", "c").count().groupBy("pivot")
-    main = main.agg(F.max(F.struct("count", "c")).alias("m"), F.sum("count").alias("near"))
-    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    weight = texts.groupBy("v").agg(F.sum("bytes").alias("bytes"))
+    named = scratch.cut(stops.join(names, "v", "left").join(weight, "v").withColumn("c", F.coalesce("c", "v")))
+    main = named.groupBy("pivot", "c").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).groupBy("pivot")
+    main = main.agg(F.max(F.struct("count", "c", "bytes")).alias("m"), F.sum("count").alias("near"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, rows, size: F.ceil(F.greatest(n / rows, size / BLOCK_BYTES)).cast("int")
     main = main.select(
-        "pivot", F.col("m.c").alias("main"), blocks(F.col("near"), BLOCK_NEAR).alias("across"),
-        blocks(F.col("near") - F.col("m.count"), BLOCK_OUT).alias("down"),
+        "pivot", F.col("m.c").alias("main"), blocks(F.col("near"), BLOCK_NEAR, F.col("bytes")).alias("across"),
+        blocks(F.col("near") - F.col("m.count"), BLOCK_OUT, F.col("bytes") - F.col("m.bytes")).alias("down"),
     )
-    named = named.join(cut(main.where("down > 0")), "pivot").join(texts, "v")
+    named = named.drop("bytes").join(scratch.cut(main.where("down > 0")), "pivot").join(texts.drop("bytes"), "v")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     out = named.where("c <> main").select("pivot", own("down").alias("i"), each("across").alias("j"), "v", "c", "text")
@@ -356,5 +370,6 @@ def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their columns, but for documents linked to an earlier one."""
-    gone = cut(link_documents(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    found = link_documents(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = Scratch(docs.sparkSession, "near-gone").cut(found)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
