@@ -1,25 +1,32 @@
-"""Line deduplication: every repeated run of lines is found by its shortest spans, later ones deleted.
+"""Line deduplication by winnowing: repeated runs of lines are found by fingerprints, later ones deleted.
 
 A document is the sequence of its lines that have words, each known by the hash of its
-trimmed text. From every line a span runs on until it has ``MIN_WORDS`` words, and to every
-line one runs up that has as many. What is a span depends on its own lines alone, so two
-documents that share a run of that many words share its spans. Of a run, each line lies in
-the span from the run's first line, or is the last line of a span within the run. So the
-spans cover a run to both of its ends, however short or long its lines are, and nothing
-has to be extended.
-
-Of the places of one span the first, in document order, stays. The others are joined into
-runs and deleted.
-
-All is DataFrame expressions. First places are found by an aggregate that is added up
-before its shuffle, and the join with places has one row a span on that side, so
-a passage of a third of all documents splits into as many tasks as it needs.
+trimmed text. Its windows are the shortest stretches of lines that have ``MIN_WORDS``
+words, one from every line on and one up to every line. Of each window the smallest line
+hash is selected as a fingerprint. What a window is and what it selects depends on its own
+lines alone, so two documents that share a run of that many words share fingerprints: this
+is the guarantee of winnowing. Neighbouring windows mostly select the same line, so there
+are far fewer fingerprints than windows.
+
+Places of equal fingerprints are joined. Around a fingerprint that has several places a
+match is extended both ways, to the ends of every window that selected it, as far as the
+whole window is found elsewhere too. Of the places of one window the first, in document
+order, stays; the others are chained into runs, where they overlap or adjoin, and
+deleted. A line of a repeated run lies in the window from the run's first line, or is the
+last line of a window within the run. So runs are deleted to both of their ends, however
+short or long their lines are, whichever documents hold their parts first.
+
+All is DataFrame expressions. Repeated fingerprints and first places are found by
+aggregates that are added up before their shuffle, and the joins with places have one row
+a fingerprint or window on that side, so a passage of a third of all documents splits into
+as many tasks as it needs.
 
 Defined cases: null and empty texts stay as they are; documents are ordered by id, nulls
 first, then by text hash; rows of one id and one text are one document and get the same
 text; a document that loses every line has an empty text. Documents that lose nothing
 keep their text to the byte, others lose lines without words too. Extra columns are
-kept; an empty table yields no rows.
+kept, but for one named ``n_deleted``, which ``dedup_lines`` replaces; an empty table
+yields no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm._shared import WORD_PATTERN, cut
+from eventlens.llm._shared import WORD_PATTERN, Scratch
 
-#: Words of a repeated run that is deleted, at least; what earlier versions needed to find one surely.
-MIN_WORDS, SURE_WORDS = 25, 50
+#: Words of a repeated run that is deleted, at least; every such run is found.
+MIN_WORDS = SURE_WORDS = 25
 
 
 def _key() -> Column:
@@ -41,8 +48,11 @@ def _lines(text: str) -> Column:
     return F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORD_PATTERN))
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, lo, hi, span``: first and last line and hash of the shortest spans, of ``key, text``."""
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, print, at, windows`` of ``key, text``: each selected line, and the windows that selected it.
+
+    A window has ``lo, hi, whole``: its first and last line and the hash of all its lines.
+    """
     lines = docs.select("key", _lines("text").alias("lines")).where(F.size("lines") > 0)
     words = lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))
     hashes = F.transform("lines", lambda x: F.xxhash64(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")))
@@ -58,22 +68,34 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Every line has a word, so ``begin`` and ``end`` order lines as ``pos`` does, and frames can be measured in words.
     down = Window.partitionBy("key").orderBy("begin").rangeBetween(0, min_words - 1)
     up = Window.partitionBy("key").orderBy("end").rangeBetween(1 - min_words, 0)
-    span = lambda frame: F.xxhash64(F.collect_list("h").over(frame)).alias("span")
-    below = F.struct(F.col("pos").alias("lo"), F.max("pos").over(down).alias("hi"), span(down))
-    above = F.struct(F.min("pos").over(up).alias("lo"), F.col("pos").alias("hi"), span(up))
+    # The lines of a frame as one array: its hash and its smallest element are taken from the same list.
+    rows = rows.withColumn("below", F.collect_list("h").over(down)).withColumn("above", F.collect_list("h").over(up))
     rows = rows.select(
-        "key", F.when(F.max("end").over(down) - F.col("begin") >= min_words, below).alias("below"),
-        # With fewer words before its last line, this is also the span down from its first line.
-        F.when(F.col("begin") - F.min("begin").over(up) >= min_words, above).alias("above"),
+        "key",
+        F.when(F.max("end").over(down) - F.col("begin") >= min_words, F.struct(F.col("pos").alias("lo"), F.col("below").alias("all"))).alias("below"),
+        # With fewer words before its last line, this is also the window down from its first line.
+        F.when(
+            F.col("begin") - F.min("begin").over(up) >= min_words, F.struct((F.col("pos") - F.size("above") + 1).alias("lo"), F.col("above").alias("all"))
+        ).alias("above"),
+    )
+    found = rows.select("key", F.explode(F.array_compact(F.array("below", "above"))).alias("x"))
+    least = F.array_min("x.all")
+    found = found.select(
+        "key", least.alias("print"), (F.col("x.lo") + F.array_position("x.all", least) - 1).cast("int").alias("at"),
+        F.struct("x.lo", (F.col("x.lo") + F.size("x.all") - 1).alias("hi"), F.xxhash64("x.all").alias("whole")).alias("window"),
     )
-    return rows.select("key", F.explode(F.array_compact(F.array("below", "above"))).alias("x")).select("key", "x.*")
+    # Rows of one document are together already.
+    return found.groupBy("key", "print", "at").agg(F.collect_list("window").alias("windows"))
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """``key, lo, hi``: the places of spans but for their first ones."""
+def repeats(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, lo, hi``: the places of windows but for their first ones."""
+    again = scratch.cut(found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    near = scratch.cut(found.join(again, "print").select("key", F.explode("windows").alias("x")).select("key", "x.*"))
     first = F.min(F.struct("key", "lo")).alias("first")
-    firsts = cut(found.groupBy("span").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
-    return found.join(firsts, "span").where((F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))).select("key", "lo", "hi")
+    firsts = scratch.cut(near.groupBy("whole").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = (F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))
+    return near.join(firsts, "whole").where(later).select("key", "lo", "hi")
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -85,17 +107,31 @@ def runs(found: DataFrame) -> DataFrame:
     return marked.groupBy("key", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("key", "lo", "hi")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs deleted, and ``n_deleted``, the lines that went."""
-    # Rows travel as one struct, so that their columns can't clash with those of the operator.
+def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
+    """``row, text, n_deleted``: each row as a struct, so that its columns can't clash with those of the operator."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"), "text")
-    found = runs(repeats(cut(spans(keyed, min_words))))
+    found = runs(repeats(scratch.cut(fingerprints(keyed, min_words)), scratch))
     # A run of one document is deleted by intervals, as many as its lines at most.
-    gone = cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("key", "of"))
+    gone = scratch.cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("key", "of"))
     joined = keyed.join(gone, F.col("key").eqNullSafe(F.col("of")), "left")
     kept = F.filter(_lines("text"), lambda x, i: ~F.exists("gone", lambda g: i.between(g["lo"], g["hi"])))
     joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     deleted = F.when(F.col("gone").isNull(), 0).otherwise(F.size(_lines("text")) - F.size("kept"))
-    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*columns, deleted.alias("n_deleted"))
+    return joined.select("row", text.alias("text"), deleted.alias("n_deleted"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "n_deleted"]
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later repeated runs deleted, and ``n_deleted``, the lines that went."""
+    return _deduped(docs, min_words).select(*_columns(docs), "n_deleted")
+
+
+def keep_text(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs``, with their columns, without later repeated runs and without documents that lost all."""
+    left = _deduped(docs, min_words).where(~((F.col("n_deleted") > 0) & (F.col("text") == "")))
+    return left.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
