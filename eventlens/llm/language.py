@@ -3,10 +3,13 @@
 A text's n-grams (three characters, letters only, case folded, words padded) are seen as
 draws from a mixture of language distributions. Expectation-maximisation estimates the
 share of each language; the set of languages is the one of highest likelihood after a
-penalty for each language in it.
+penalty for each language in it. The score is the share of the predicted language: in the
+selected set if that has several languages, else among all. Each text is iterated on its
+own until it has converged, so its result doesn't depend on the texts it is batched with.
 
 The distributions are counts over all documents that may be learned from, added up on
-the executors. What reaches the driver is one table of ``BINS`` numbers a language.
+the executors. What reaches the driver is one table of ``BINS`` numbers a language, after
+the languages were counted.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, as is
 every text where nothing could be learned; equal shares go to the smaller language name;
@@ -24,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm._shared import held_out
+from eventlens.llm._shared import Scratch, held_out
 
 #: Bins of the n-gram hash, and what is added to each count.
 BINS, SMOOTHING = 1 << 16, 0.25
-#: Rounds of expectation-maximisation; log-likelihood that a further language must gain for each log of the n-grams.
-ROUNDS, PENALTY = 12, 4.0
+#: Rounds of expectation-maximisation, at most, and the change of shares below which a text has converged.
+ROUNDS, CONVERGED = 12, 1e-3
+#: Log-likelihood that a further language must gain for each log of the n-grams.
+PENALTY = 4.0
 #: Smallest share for which a further language is tried.
 LEAST_SHARE = 0.05
 #: Languages that a model may have; more are an error, as the model is held by the driver.
-MOST_LANGUAGES = 2000
+MOST_LANGUAGES = 200
 
 
 @cache
@@ -90,13 +95,15 @@ def learn(docs: DataFrame) -> Model:
     """The model of all rows of ``docs`` that have a text and a language."""
     taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = taught.mapInArrow(_counted, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    languages = sorted(set(found.column("lang").to_pylist()))
+    counts = Scratch(docs.sparkSession, "language").cut(counts)
+    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} can be learned")
+        raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
+    found = counts.toArrow()
     table = np.zeros((BINS, len(languages)))
+    names = found.column("lang").combine_chunks().dictionary_encode()
     at = {lang: k for k, lang in enumerate(languages)}
-    columns = [at[x] for x in found.column("lang").to_pylist()]
+    columns = np.array([at[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
     table[found.column("bin").to_numpy(), columns] = found.column("n").to_numpy()
     return Model(languages, table)
 
@@ -106,7 +113,11 @@ def shares(chance: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.n
     pi = np.full(chance.shape[1], 1 / chance.shape[1])
     for _ in range(rounds):
         part = chance * pi
-        pi = (part * (counts / part.sum(1))[:, None]).sum(0) / counts.sum()
+        moved = (part * (counts / part.sum(1))[:, None]).sum(0) / counts.sum()
+        done = np.abs(moved - pi).max() < CONVERGED
+        pi = moved
+        if done:
+            break
     return pi
 
 
@@ -144,22 +155,27 @@ def infer(model: Model, texts: list[str | None]) -> list[tuple[str, float, str]]
     total = np.add.reduceat(weight, begin[:-1])
     lengths = np.diff(begin)
     pi = np.full((len(rows), len(model.languages)), 1 / len(model.languages))
+    done = np.zeros(len(rows), bool)
     for _ in range(ROUNDS):
         part = chance * np.repeat(pi, lengths, axis=0)
         part *= (weight / part.sum(1))[:, None]
         moved = np.add.reduceat(part, begin[:-1], axis=0) / total[:, None]
-        done = np.abs(moved - pi).max() < 1e-3
-        pi = moved
-        if done:
+        # A text that has converged stays as it is, however long others take.
+        change = np.abs(moved - pi).max(1)
+        pi = np.where(done[:, None], pi, moved)
+        done |= change < CONVERGED
+        if done.all():
             break
     for k, share, a, b in zip(rows, pi, begin, begin[1:], strict=False):
         top = int(np.argmax(share))
-        chosen, parts = [top], np.ones(1)
+        chosen, parts, score = [top], np.ones(1), share[top]
         if np.partition(share, -2)[-2] >= LEAST_SHARE if len(share) > 1 else False:
             chosen, parts = select(chance[a:b], weight[a:b])
-            top = chosen[int(np.argmax(parts))]
+            best = max(range(len(chosen)), key=lambda i: (parts[i], -chosen[i]))
+            top = chosen[best]
+            score = parts[best] if len(chosen) > 1 else share[top]
         listed = sorted(zip(parts, (model.languages[i] for i in chosen), strict=True), key=lambda x: (-x[0], x[1]))
-        out[k] = (model.languages[top], float(min(1.0, share[top])), ",".join(f"{lang}:{p:.2f}" for p, lang in listed))
+        out[k] = (model.languages[top], float(min(1.0, score)), ",".join(f"{lang}:{p:.2f}" for p, lang in listed))
     return out
 
 
