@@ -113,7 +113,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     phrase = _whole([p for p, _ in PHRASES])
     text = F.col("text")
     n_base = F.regexp_count(text, F.lit(phrase)).cast("long")
-    before_first = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(phrase)) - 1)
+    # Text before a place, not its index: indices of expressions and of substrings count differently beyond 16 bits.
+    before_first = F.element_at(F.split(text, phrase, 2), 1)
     before_last = F.regexp_extract(text, "(?s)^(.*)" + phrase.replace("(?i)", "(?i:") + ")", 1)
     base = F.array_compact(F.array(*[F.when(text.rlike(_whole([p])), F.lit(label)) for p, label in PHRASES]))
 
