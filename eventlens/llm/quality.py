@@ -7,7 +7,8 @@ learned by follow-the-regularised-leader updates for each coordinate, over a bou
 sample of labelled documents in a fixed order, and scoring is one sparse dot product.
 
 Defined cases: null and empty texts have no features and score by the bias alone;
-documents labelled more than once count once, with the larger label; without any label
+documents labelled more than once count once, with the larger label; of rows of one id
+only one is learned from (the one of smallest features); without any label
 every score is 0.5; repeated rows are scored one by one; other columns are ignored.
 """
 
@@ -27,6 +28,8 @@ from eventlens.llm._shared import held_out
 BINS = 1 << 18
 #: Labelled documents to learn from, at most: those of smallest id hash.
 FIT_ROWS = 8000
+#: N-gram bins of these documents that are learned from, at most: documents beyond it, in the same order, are left out.
+FIT_FEATURES = 1 << 25
 #: Passes over them, and the learner's step, smoothing and penalties.
 PASSES, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.1
 #: From this score on a document is predicted to be good.
@@ -98,7 +101,7 @@ def score(weights: np.ndarray, text: str | None) -> float:
     return 1 / (1 + np.exp(-min(35.0, max(-35.0, margin))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> np.ndarray:
     """Weights learned from at most ``fit_rows`` labelled documents outside the held-out fold.
 
     Features are made on the executors; one task, whose input has that bound, learns.
@@ -116,15 +119,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
             )
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [
-            (np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), y)
-            for batch in batches
-            for b, v, y in zip(batch.column("bins").to_pylist(), batch.column("vals").to_pylist(), batch.column("label").to_pylist(), strict=True)
-        ]
+        examples, held = [], 0
+        for batch in batches:
+            for b, v, y in zip(batch.column("bins").to_pylist(), batch.column("vals").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                held += len(b) // 4
+                if held <= fit_features:
+                    examples.append((np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), y))
         yield pa.RecordBatch.from_pydict({"weights": [train(examples).tobytes()]})
 
     rows = taught.mapInArrow(made, "doc_id long, label int, bins binary, vals binary")
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "bins")
+    # One row a document, so that the last task has at most ``fit_rows``, each of at most BINS features.
+    least = rows.groupBy("doc_id", "label").agg(F.min(F.struct("bins", "vals")).alias("x")).select("doc_id", "label", "x.*")
+    one = least.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = one.mapInArrow(learned, "weights binary").first()
     return np.frombuffer(found.weights, np.float32) if found else np.zeros(BINS, np.float32)
 
