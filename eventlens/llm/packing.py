@@ -17,6 +17,7 @@ empty table yields no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -46,13 +47,30 @@ _SCHEMA = (
 Piece = tuple[int, int, int]  # document, start, length
 
 
+#: Normaliser and pre-tokeniser of a tokenizer that may be asked chunk by chunk. Fixed values.
+_FOLDED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_chunk(tokenizer) -> bool:
+    """True if case is folded, white space dropped, and letters, digits and marks are parted before ids are found."""
+    known = json.loads(tokenizer.to_str())
+    folds, parts = known.get("normalizer") or {}, known.get("pre_tokenizer") or {}
+    first = (parts.get("pretokenizers") or [{}])[0]
+    parted = first.get("type") == "Split" and first.get("pattern") == {"Regex": _PARTED} and first.get("behavior") == "Removed" and first.get("invert")
+    # Strings of added tokens would be found in a text, across chunks, if they held letters or white space alone.
+    plain = all(t["content"].startswith("<|") and t["content"].endswith("|>") and " " not in t["content"] for t in known.get("added_tokens") or [])
+    return bool(folds.get("normalizers") == _FOLDED and parted and plain)
+
+
 class _Chunks:
     """Ids, as little-endian 32-bit bytes, of texts by way of their chunks between white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its chunks in order. It also parts letters from other marks, so the ids of a chunk
-    of letters and then plain marks are those of both. Words repeat, and are kept in two
-    generations of bounded size: what is used again moves to the younger one.
+    A tokenizer of the kind ``by_chunk`` drops white space and never joins across it, so a
+    text's ids are those of its chunks in order. It also folds case and parts letters from
+    other marks, so the ids of a chunk of letters and then plain marks are those of both.
+    Words repeat, and are kept in two generations of bounded size: what is used again
+    moves to the younger one. Any other tokenizer encodes whole texts.
     """
 
     limit = 1 << 18
@@ -61,6 +79,7 @@ class _Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = by_chunk(self.tokenizer)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -100,6 +119,8 @@ class _Chunks:
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; each distinct chunk of them all is looked up once."""
+        if not self.chunked:
+            return list(map(self._encode, texts.to_pylist()))
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         known = list(map(self._chunk, coded.dictionary.to_pylist()))
