@@ -9,10 +9,13 @@ the original vectors.
 
 Queries meet the index in a grid of cells: a cell holds one block of the index and one
 block of queries, both of bounded size, and keeps the k best of each query; those are
-merged for each query, ranked before they are shuffled.
+merged for each query, ranked before they are shuffled. A cell walks through its pairs in
+tiles, and a query's k-th distance so far bounds what later tiles rerank. Vectors travel
+in their own precision, once for each ``CELL_QUERIES`` queries, and queries once for each
+``CELL_ROWS`` rows, so that what a cell computes is thousands of times what it reads.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null
-or non-finite components take no part. A query's own rows (same id) are no candidates.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no
+part; distances are between vectors of one length, and each length has its own index. A query's own rows (same id) are no candidates.
 Of repeated query ids the smallest vector is searched; repeated candidates are ranked
 as often as they occur. Ties go to the smaller id. An empty table yields no rows.
 """
@@ -30,8 +33,12 @@ from pyspark.sql import functions as F
 FIT_ROWS = 4096
 #: Standard deviations of the estimate that the bounds allow for.
 EPSILON = 2.5
-#: Index rows and queries of a cell, about.
-CELL_ROWS, CELL_QUERIES = 2048, 1024
+#: Index rows and queries of a cell, about; rows of the smallest cells, where more cells keep more cores busy.
+CELL_ROWS, CELL_QUERIES, LEAST_ROWS = 32_768, 8192, 2048
+#: Index rows and queries of a tile.
+TILE_ROWS, TILE_QUERIES = 4096, 256
+#: Lengths of vectors that are told apart, at most; more are an error.
+MOST_LENGTHS = 64
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -70,58 +77,79 @@ def usable(vector: str = "embedding") -> Column:
 
 
 class Index:
-    """Codes of every vector, and the fitted centre and rotation."""
+    """Codes of every vector, and for each length of vectors their number, centre and rotation."""
 
-    def __init__(self, rows: DataFrame, count: int, centre: np.ndarray, turn: np.ndarray):
-        self.rows, self.count, self.centre, self.turn = rows, count, centre, turn
+    def __init__(self, rows: DataFrame, fitted: dict[int, tuple[int, np.ndarray, np.ndarray]]):
+        self.rows, self.fitted = rows, fitted
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """Ids and usable vectors in double precision."""
-    wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return wide.where(F.col("vec_id").isNotNull()).where(F.coalesce(usable(), F.lit(False)))
+    """Ids, usable vectors, and their length."""
+    own = vectors.schema["embedding"].dataType
+    kept = own if own.simpleString() == "array<float>" else "array<double>"
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("embedding"))
+    slim = slim.where(F.col("vec_id").isNotNull()).where(F.coalesce(usable(), F.lit(False)))
+    return slim.withColumn("dim", F.size("embedding"))
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack(list(vectors)).astype(np.float64)
 
 
 def build_index(vectors: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Index | None:
-    """Index every usable row. Only the centre is fitted, on at most ``fit_rows`` rows."""
+    """Index every usable row. Only the centres are fitted, on at most ``fit_rows`` rows each."""
     rows = clean(vectors)
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
+    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS + 1).collect()
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    fitted = {}
+    for dim, count in sizes:
+        sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
+        fitted[dim] = count, _matrix(r.embedding for r in sample).mean(0), rotation(dim, seed)
+    if not fitted:
         return None
-    dim, count = sizes
-    rows = rows.where(F.size("embedding") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
-    centre, turn = np.array([r.embedding for r in sample]).mean(0), rotation(dim, seed)
 
     def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if len(part):
-                codes, norm, own = encode(np.stack(part.embedding.to_numpy()), centre, turn)
-                yield part.assign(code=[c.tobytes() for c in codes], norm=norm, own=own)
+            for dim, own in part.groupby("dim"):
+                _, centre, turn = fitted[dim]
+                codes, norm, inner = encode(_matrix(own.embedding), centre, turn)
+                yield own.assign(code=[c.tobytes() for c in codes], norm=norm, own=inner)
 
-    return Index(rows.mapInPandas(coded, "vec_id long, embedding array<double>, code binary, norm double, own double"), count, centre, turn)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return Index(rows.mapInPandas(coded, f"vec_id long, embedding {kind}, dim int, code binary, norm double, own double"), fitted)
 
 
 def nearest(part: pd.DataFrame, queries: pd.DataFrame, k: int, centre, turn, epsilon: float = EPSILON) -> pd.DataFrame:
-    """The k nearest rows of ``part`` to each query, by estimate, bound and rerank."""
-    x, ids = np.stack(part.embedding.to_numpy()), part.vec_id.to_numpy()
-    q = np.stack(queries.embedding.to_numpy())
+    """The k nearest rows of ``part`` to each query, by estimate, bound and rerank, tile by tile."""
+    x, ids = _matrix(part.embedding), part.vec_id.to_numpy()
+    asked, names = _matrix(queries.embedding), queries.vec_id.to_numpy()
     codes = np.frombuffer(b"".join(part.code), np.uint8).reshape(len(part), -1)
-    guess, width = estimate(codes, part.norm.to_numpy(), part.own.to_numpy(), q, centre, turn, epsilon)
+    norm, own = part.norm.to_numpy(), part.own.to_numpy()
     out = []
-    for j, query in enumerate(queries.vec_id.to_numpy()):
-        other = ids != query
-        low = np.where(other, guess[:, j] - width[:, j], np.inf)
-        distance = lambda rows: ((x[rows] - q[j]) ** 2).sum(1)  # noqa: B023, E731
-        if other.sum() > 2 * k:
-            first = np.argpartition(np.where(other, guess[:, j], np.inf), 2 * k)[: 2 * k]
-            bound = np.partition(distance(first), k - 1)[k - 1]
-            rows = np.flatnonzero(low <= bound)
-        else:
-            rows = np.flatnonzero(other)
-        exact = distance(rows)
-        best = np.lexsort((ids[rows], exact))[:k]
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows][best], "score": np.sqrt(exact[best])}))
+    for first in range(0, len(asked), TILE_QUERIES):
+        q, name = asked[first : first + TILE_QUERIES], names[first : first + TILE_QUERIES]
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(q)
+        for at in range(0, len(x), TILE_ROWS):
+            rows = slice(at, at + TILE_ROWS)
+            tile, tile_ids = x[rows], ids[rows]
+            guess, width = estimate(codes[rows], norm[rows], own[rows], q, centre, turn, epsilon)
+            low = guess - width
+            for j in range(len(q)):
+                other = tile_ids != name[j]
+                near = lambda some, j=j, tile=tile: ((tile[some] - q[j]) ** 2).sum(1)
+                bound = best[j][0][k - 1] if len(best[j][0]) == k else np.inf
+                if other.sum() > 2 * k and bound == np.inf:
+                    sure = np.argpartition(np.where(other, guess[:, j], np.inf), 2 * k)[: 2 * k]
+                    bound = np.partition(near(sure), k - 1)[k - 1]
+                some = np.flatnonzero(other & (low[:, j] <= bound))
+                if len(some):
+                    distance, those = np.append(best[j][0], near(some)), np.append(best[j][1], tile_ids[some])
+                    order = np.lexsort((those, distance))[:k]
+                    best[j] = distance[order], those[order]
+        many = [len(b[0]) for b in best]
+        found = {"query_id": np.repeat(name, many), "vec_id": np.concatenate([b[1] for b in best]), "score": np.sqrt(np.concatenate([b[0] for b in best]))}
+        out.append(pd.DataFrame(found))
     return pd.concat(out)
 
 
@@ -132,20 +160,30 @@ def search(index: Index | None, queries: DataFrame, k: int = 10, epsilon: float
     if index is None:
         found = spark.createDataFrame([], schema)
     else:
-        centre, turn, dim = index.centre, index.turn, len(index.centre)
-        asked = clean(queries).where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        down, across = -(-index.count // CELL_ROWS), -(-asked.count() // CELL_QUERIES)
-        rows = index.rows.withColumn("r", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(down)))
-        rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(across, 1) - 1))))
-        asked = asked.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(max(across, 1))).cast("int"))
-        asked = asked.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("r", F.col("r").cast("long"))
+        fitted, cores = index.fitted, spark.sparkContext.defaultParallelism
+        asked = clean(queries).where(F.col("dim").isin(list(fitted)))
+        # A query id has one vector: its smallest, shorter ones first.
+        asked = asked.groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("x")).select("vec_id", "x.*")
+        many = dict(asked.groupBy("dim").count().collect())
+
+        def grid(dim: int, count: int) -> tuple[int, int]:
+            across = max(1, -(-many.get(dim, 0) // CELL_QUERIES))
+            return max(-(-count // CELL_ROWS), min(-(-count // LEAST_ROWS), -(-2 * cores // across))), across
+
+        cells = {dim: grid(dim, count) for dim, (count, *_) in fitted.items() if many.get(dim)}
+        size = F.create_map(*[F.lit(x) for dim, cell in cells.items() for x in (dim, list(cell))]) if cells else F.create_map(F.lit(0), F.array(F.lit(0)))
+        down, across = F.element_at(F.element_at(size, F.col("dim")), 1), F.element_at(F.element_at(size, F.col("dim")), 2)
+        rows = index.rows.where(F.col("dim").isin(list(cells))).withColumn("r", F.pmod(F.xxhash64("vec_id", "embedding"), down).cast("int"))
+        rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), across - 1)))
+        asked = asked.withColumn("c", F.pmod(F.xxhash64("vec_id"), across).cast("int"))
+        asked = asked.withColumn("r", F.explode(F.sequence(F.lit(0), down - 1)))
 
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            return nearest(left, right, k, centre, turn, epsilon)
+            return nearest(left, right, k, *fitted[int(left.dim.iloc[0])][1:], epsilon)
 
-        found = rows.groupBy("r", "c").cogroup(asked.groupBy("r", "c")).applyInPandas(cell, schema)
+        found = rows.groupBy("dim", "r", "c").cogroup(asked.groupBy("dim", "r", "c")).applyInPandas(cell, schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
