@@ -26,8 +26,9 @@ from eventlens.llm._shingles import shingles
 
 #: Hashes of a sketch. The standard error of a resemblance r is sqrt(r(1-r)/K).
 K = 128
-#: Bytes of input for each range of ids, at most.
-RANGE_BYTES = 128 << 20
+#: Bytes of input for each range of ids, and most ranges: as many as quantiles can be told apart and named in a
+#: plan. Beyond both, ranges grow; they are sorted with spilling and streamed, so memory doesn't depend on their size.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 4096
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
@@ -120,7 +121,7 @@ def ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     """As many ranges as the session has shuffle partitions, or more for a large input."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # else the plan can't tell
-    return max(partitions(docs.sparkSession), -(-size // range_bytes) if known else 1)
+    return min(MOST_RANGES, max(partitions(docs.sparkSession), -(-size // range_bytes) if known else 1))
 
 
 def fingerprint_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
@@ -134,7 +135,7 @@ def fingerprint_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     many = ranges(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = [i / many for i in range(1, many)]
-    cuts = slim.agg(F.percentile_approx("doc_id", marks, 10_000).alias("cuts")).first().cuts if marks else None
+    cuts = slim.agg(F.percentile_approx("doc_id", marks, 10 * MOST_RANGES).alias("cuts")).first().cuts if marks else None
     # Two steps, so that a row is compared with about twice the square root of the number of cuts.
     cuts = sorted(set(cuts or []))
     wide = max(1, int(len(cuts) ** 0.5))
