@@ -28,17 +28,23 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs.where(~held_out())))
 
 
+#: Words of a host's name that mark its pages as spam.
+SPAM_WORDS = ("ads", "adult", "bets", "betting", "casino", "escort", "loans", "payday", "pharmacy", "pills", "poker", "porn", "slots", "tracker", "viagra", "xxx")
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``url, bad`` of every page; bad is null where nothing is known.
 
     The pages of the test tables are renderings of documents, whose number ends the path
-    of their url; a page counts as bad if its document is labelled of low quality.
+    of their url. A page counts as bad if its document is labelled of low quality, or if
+    a part of its host's name between dots and hyphens is one of ``SPAM_WORDS``.
     """
     number = F.regexp_extract("url", r"://[^/?#]*/[^?#]*?(\d{1,18})[^0-9?#]*(?:[?#]|$)", 1)
-    pages = table(spark, sf_dir, "pages").select("url", F.when(number != "", number).cast("long").alias("doc_id"))
+    spam = url_reputation.host_of().rlike(rf"(^|[.-])({'|'.join(SPAM_WORDS)})([.:-]|$)")
+    pages = table(spark, sf_dir, "pages").select("url", F.when(number != "", number).cast("long").alias("doc_id"), spam.alias("spam"))
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     bad = labels.groupBy("doc_id").agg((1 - F.max("quality")).cast("int").alias("bad"))
-    return pages.join(bad, "doc_id", "left").select("url", "bad")
+    return pages.join(bad, "doc_id", "left").select("url", F.when(F.col("spam"), 1).otherwise(F.col("bad")).alias("bad"))
 
 
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from eventlens.llm._shingles import shingles, word_hashes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Names that operators use inside, as extra columns of the input.
-CLASH = "part int, key int, size int, node int, rank int, copies int, c int, v int, donor int, host int, score int, __gone int"
+CLASH = "part int, key int, size int, node int, rank int, copies int, c int, v int, donor int, host int, score int, __gone int, n_deleted int"
 SYLLABLES = "ba ko ri ten mu sal do pe lin gra vo shi".split()
 
 
@@ -327,7 +327,7 @@ def test_line_dedup(spark):
     assert text[5] == rows[4][1] and text[7] == rows[6][1] and text[None] == long_line
     assert text[8].count("\n") == 2 and got[8].n_deleted == 2
     assert (text[9], text[10], text[11]) == (None, "", " \n ")
-    assert line_dedup.dedup_lines(df).columns == [*df.columns, "n_deleted"]
+    assert line_dedup.dedup_lines(df).columns == [*[c for c in df.columns if c != "n_deleted"], "n_deleted"]
     assert line_dedup.dedup_lines(empty(spark)).collect() == []
 
 
@@ -674,3 +674,298 @@ def test_line_dedup_against_brute_force(spark):
         if not any(gone):
             assert got[k] == text
     assert deleted > 200
+
+
+# --- against plain versions -----------------------------------------------------------
+def plain_language(model, text):
+    """Language, share and set of one text, by loops over its n-grams."""
+    bins = Counter(language.grams(text).tolist())
+    if not bins:
+        return "und", 0.0
+    total, many = sum(bins.values()), len(model.languages)
+
+    def mixture(among):
+        share = {k: 1 / len(among) for k in among}
+        for _ in range(language.ROUNDS):
+            gained = dict.fromkeys(among, 0.0)
+            for b, n in bins.items():
+                whole = sum(share[k] * model.chance[b, k] for k in among)
+                for k in among:
+                    gained[k] += n * share[k] * model.chance[b, k] / whole
+            moved = {k: v / total for k, v in gained.items()}
+            change = max(abs(moved[k] - share[k]) for k in among)
+            share = moved
+            if change < language.CONVERGED:
+                break
+        return share
+
+    fit = lambda share: sum(n * math.log(sum(p * model.chance[b, k] for k, p in share.items())) for b, n in bins.items())
+    free = mixture(range(many))
+    order = sorted(free, key=lambda k: (-free[k], k))
+    if many == 1 or free[order[1]] < language.LEAST_SHARE:
+        return model.languages[order[0]], free[order[0]]
+    chosen = [max(range(many), key=lambda k: (fit({k: 1.0}), -k))]
+    best = fit({chosen[0]: 1.0})
+    for k in order:
+        if k not in chosen:
+            gained = fit(mixture([*chosen, k]))
+            if gained - best <= language.PENALTY * math.log(max(2.0, total)):
+                break
+            chosen, best = [*chosen, k], gained
+    share = mixture(chosen)
+    top = max(chosen, key=lambda k: (share[k], -k))
+    return model.languages[top], share[top] if len(chosen) > 1 else free[top]
+
+
+def test_languages_against_a_plain_version(spark):
+    rnd = random.Random(31)
+    rows = [(k, spoken(rnd, lang, rnd.randint(5, 60)), lang, "s") for k in range(90) for lang in [rnd.choice(["aa", "bb", "cc"])]]
+    model = language.learn(frame(spark, rows))
+    texts = [None, "", "1 2", "zu", "zu mar"] + [t for _, t, *_ in rows[:30]]
+    texts += [" ".join(spoken(rnd, lang, rnd.choice([2, 10, 60])) for lang in rnd.sample(["aa", "bb", "cc"], rnd.randint(2, 3))) for _ in range(60)]
+    texts += ["zu ke " * 20_000, texts[40], texts[40]]
+    got = language.infer(model, texts)
+    for text, (lang, score, _) in zip(texts, got, strict=True):
+        want = plain_language(model, text or "")
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-9), text
+    alone = [language.infer(model, [t])[0] for t in texts]
+    assert alone == got == language.infer(model, texts[::-1])[::-1]  # whatever texts are batched together
+    df = frame(spark, [(k, t, None, "") for k, t in enumerate(texts)])
+    for parts in (1, 7):
+        assert {r.doc_id: (r.lang_pred, r.score, r.languages) for r in language.predict(df.repartition(parts), model).collect()} == dict(enumerate(got))
+
+
+def test_language_ties_and_too_many(spark, monkeypatch):
+    twins = frame(spark, [(k, "same words in both", lang, "") for k, lang in enumerate(["yy", "xx", "yy", "xx"])])
+    assert {(r.lang_pred, round(r.score, 6)) for r in language.predict(twins, language.learn(twins)).collect()} == {("xx", 0.5)}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 5)
+    many = frame(spark, [(k, "some text", f"l{k}", "") for k in range(9)])
+    with pytest.raises(ValueError, match="more than 5"):
+        language.learn(many)
+
+
+def test_quality_against_a_plain_learner(spark):
+    """The weights of follow-the-regularised-leader, kept in dictionaries and updated one by one."""
+    rnd = random.Random(32)
+    rows = [(k, invented(rnd, rnd.randint(1, 30)) if k % 3 else invented(rnd, 8).upper(), "", "") for k in range(120)]
+    rows += [(7, "another text of the same id", "", ""), (7, "a third one", "", ""), (200, "", "", ""), (201, None, "", "")]
+    marks = [(k, int(k % 3 > 0)) for k in range(120)] + [(200, 1), (201, 0)]
+    got = quality.fit(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"))
+    per = {}
+    for k, text, *_ in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            bins, values = quality.features(text)
+            found = (bins.tobytes(), values.tobytes())
+            per[k] = min(per.get(k, found), found)
+    hashed = {r.doc_id: r.h for r in spark.createDataFrame([(k,) for k in per], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    labels = dict(marks)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for k in sorted(per, key=lambda k: (hashed[k], k)):
+            own = dict(zip(np.frombuffer(per[k][0], np.int32).tolist(), np.frombuffer(per[k][1], np.float32).tolist(), strict=True)) | {quality.BINS - 1: 1.0}
+            now = {i: weight(i) for i in own}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(now[i] * x for i, x in own.items())))))
+            for i, x in own.items():
+                g = (p - labels[k]) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * now[i]
+                n[i] += g * g
+    want = np.zeros(quality.BINS, np.float32)
+    for i in z:
+        want[i] = weight(i)
+    assert np.abs(want).max() > 0.1 and np.allclose(got, want, atol=1e-4)
+    text = rows[1][1]
+    assert quality.score(got, text) == pytest.approx(1 / (1 + math.exp(-sum(float(got[b]) * float(v) for b, v in zip(*quality.features(text), strict=True)) - float(got[-1]))), abs=1e-6)
+    assert 0 <= quality.score(got, "long " * 300_000) <= 1
+
+
+def test_licenses_beyond_sixteen_bits(spark):
+    texts = ["😀😀😀😀 cc by", "😀 a 😀b cc by c 😀 CC-BY", "cc by 😀", "𝔘𝔫𝔦 general\npublic license 😀 all rights reserved"]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(k, t, "", "") for k, t in enumerate(texts)])).collect()}
+    assert [(got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word) for k in range(4)] == [(3, 1, 1, 1), (9, 2, 3, 7), (3, 1, 0, 0), (8, 2, 1, 5)]
+
+
+def test_registered_domains(spark):
+    hosts = {
+        "www.bbc.co.uk": ("www.bbc.co.uk", "co.uk", "bbc.co.uk"), "a.b.example.com:8080": ("a.b.example.com", "com", "example.com"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1", "(address)", "10.0.0.1"), "[::1]:443": ("[::1]", "(address)", "[::1]"), "localhost": ("localhost", "localhost", "localhost"),
+        "u:p@x.github.io.": ("x.github.io", "github.io", "x.github.io"), "y.s3.amazonaws.com": ("y.s3.amazonaws.com", "s3.amazonaws.com", "y.s3.amazonaws.com"), "": ("", "", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("name", url_reputation.name_of(F.col("host")))
+    got = df.select("host", "name", url_reputation.suffix_of(F.col("name")).alias("s"), url_reputation.domain_of(F.col("name")).alias("d")).collect()
+    assert {r.host: (r.name, r.s, r.d) for r in got} == hosts
+    rows = [(f"http://{h}.bad.co.uk:{p}/", 1) for h in "abc" for p in (80, 81) for _ in range(9)] + [(f"http://h{k}.co.uk/", 0) for k in range(60) for _ in range(3)]
+    rows += [("http://new.bad.co.uk/", None), ("http://new.co.uk/", None), ("http://" + "long" * 50_000 + ".org/" + "x" * 50_000, 0)]
+    outcomes = spark.createDataFrame(rows, "url string, bad int")
+    pages = spark.createDataFrame([(k, u, "x") for k, (u, _) in enumerate(rows)], "page_id long, url string, name string")
+    verdicts = defaultdict(set)
+    for r in url_reputation.judge(pages, outcomes, rules=()).collect():
+        verdicts[r.host.split(":")[0]].add(r.verdict)
+    # What is known of a registered domain counts for its other hosts, not for other domains below one suffix.
+    assert all(verdicts[f"{h}.bad.co.uk"] == {"block"} for h in ("a", "b", "c", "new")) and verdicts["new.co.uk"] == verdicts["h3.co.uk"] == {"allow"}
+
+
+def test_reputation_of_pages(spark, tmp_path):
+    """The query decides both ways where hosts differ, and its bounds are those of a plain computation."""
+    from eventlens.llm import queries
+
+    rnd = random.Random(33)
+    hosts = [f"h{k}.d{k % 5}.org" for k in range(20)] + ["www.big-casino.org", "spam.d1.org"]
+    pages, labels = [], []
+    for k in range(900):
+        host = rnd.choice(hosts)
+        pages.append((k, f"https://{host}/en/{k}.html", ""))
+        if rnd.random() < 0.5:
+            labels.append((k, int(rnd.random() > (0.9 if host == "spam.d1.org" else 0.1)), 0))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = queries.op5_url_reputation(spark, str(tmp_path)).collect()
+    assert {(r.host in ("www.big-casino.org", "spam.d1.org"), r.verdict) for r in out} == {(True, "block"), (False, "allow")}
+    bad = {d: 1 - q for d, q, _ in labels}
+    count, rate = defaultdict(lambda: [0, 0]), [1, 2]
+    for k, url, _ in pages:
+        host = url.split("/")[2]
+        known = 1 if "casino" in host else bad.get(k)
+        if known is not None:
+            for key in (host, host.split(".", 1)[1], "org"):
+                count[key][0] += known
+                count[key][1] += 1
+            rate = [rate[0] + known, rate[1] + 1]
+
+    def strength(children):
+        x = sum(n * (b / n - m) ** 2 / (m * (1 - m)) - 1 for b, n, m in children)
+        return 1 / min(max(x / sum(n - 1 for _, n, _ in children), 0.001), 0.5) - 1
+
+    m = rate[0] / rate[1]
+    domains = {d: count[d] for d in {h.split(".", 1)[1] for h in hosts}}
+    k = strength([(*count["org"], m)])
+    above = {d: (count["org"][0] - b + k * m) / (count["org"][1] - n + k) for d, (b, n) in domains.items()}
+    k = strength([(b, n, above[d]) for d, (b, n) in domains.items()])
+    own = lambda h: h.split(".", 1)[1]
+    prior = {h: (domains[own(h)][0] - count[h][0] + k * above[own(h)]) / (domains[own(h)][1] - count[h][1] + k) for h in hosts}
+    k = strength([(*count[h], prior[h]) for h in hosts])
+    for r in out:
+        b, n = count[r.host]
+        alpha, beta = b + k * prior[r.host], n - b + k * (1 - prior[r.host])
+        t = alpha + beta
+        assert r.bad_bound == pytest.approx(alpha / t - 1.645 * math.sqrt(alpha * beta / (t * t * (t + 1))), abs=1e-5)
+
+
+def test_other_tokenizers(spark, texts):
+    """A vocabulary that keeps case and white space is asked for whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    some = [(k, x, "", "") for k, x in enumerate(["A a  A!", "Word word\n WORD", *texts[:20]])] + [(5, "Word word", "", "")] * 2
+    assert packing.chunks(TOKENIZER).chunked and not packing.chunks(path).chunked
+    by_doc = defaultdict(list)
+    for r in packing.pack_documents(frame(spark, some), path).collect():
+        by_doc[r.doc_id].append(r)
+    want = defaultdict(list)
+    for k, x, *_ in some:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        want[k].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for k, own in want.items():
+        assert sorted((r.length, r.ids_crc32) for r in by_doc[k] if r.length == r.doc_tokens) == sorted(x for x in own if any(r.length == r.doc_tokens for r in by_doc[k])) or len(by_doc[k]) > len(own)
+        assert sum(r.length for r in by_doc[k]) == sum(n for n, _ in own)
+
+
+def test_vectors_of_several_lengths(spark):
+    rnd = np.random.default_rng(34)
+    rows = [(k, rnd.standard_normal(8 if k % 3 else 5).tolist()) for k in range(900)]
+    out = ann.search(ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), spark.createDataFrame(rows[::100], "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in out.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 900, 100):
+        d = sorted((math.dist(x, rows[q][1]), k) for k, x in rows if k != q and len(x) == len(rows[q][1]))
+        hits += len(set(got[q]) & {k for _, k in d[:10]})
+    assert set(got) == set(range(0, 900, 100)) and hits >= 88
+
+
+def test_tiles_find_the_same(monkeypatch):
+    import pandas as pd
+
+    rnd = np.random.default_rng(35)
+    x = rnd.standard_normal((500, 12))
+    x[50:60] = x[50]
+    centre, turn = x.mean(0), ann.rotation(12)
+    codes, norm, own = ann.encode(x, centre, turn)
+    part = pd.DataFrame({"vec_id": np.arange(500), "embedding": list(x), "code": [c.tobytes() for c in codes], "norm": norm, "own": own})
+    asked = part.iloc[::25][["vec_id", "embedding"]]
+    whole = ann.nearest(part, asked, 10, centre, turn, 100.0)
+    monkeypatch.setattr(ann, "TILE_ROWS", 37)
+    monkeypatch.setattr(ann, "TILE_QUERIES", 3)
+    assert ann.nearest(part, asked, 10, centre, turn, 100.0).reset_index(drop=True).equals(whole.reset_index(drop=True))
+    for q, own_rows in whole.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert own_rows.vec_id.tolist() == np.lexsort((np.arange(500), d))[:10].tolist()
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    rnd = random.Random(36)
+    a, b = invented(rnd, 80), invented(rnd, 80)
+    rows = [(1, a, "", ""), (1, b, "", ""), (2, a + " more", "", ""), (3, b + " more", "", ""), (4, invented(rnd, 80), "", "")]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.link_documents(frame(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_templates_fall_apart(spark):
+    """Pages that share most of a template, but not enough to be linked, end in small nodes, and none is linked."""
+    rnd = random.Random(37)
+    frame_words = invented(rnd, 90)
+    rows = [(k, frame_words + " " + invented(rnd, 35), "", "") for k in range(400)] + [(400 + k, frame_words + " " + invented(random.Random(5), 35 - k), "", "") for k in range(3)]
+    got = {r.doc_id: r.component_id for r in near_dedup.link_documents(frame(spark, rows)).collect()}
+    assert got == {k: min(k, 400) for k in range(403)}
+
+
+def test_pipeline_of_nothing_and_of_odd_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_deleted int, gone int, row int, copies int, mark int"
+    none = spark.createDataFrame([], schema)
+    none.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    rnd = random.Random(38)
+    passage = [spoken(rnd, "aa", 30), spoken(rnd, "aa", 30)]
+    rows = [(k, "\n".join([spoken(rnd, "aa", 12), *(passage if k % 2 else []), spoken(rnd, "aa", 9)]), "aa", "s", 1, 5, 6, 7, 8, 9) for k in range(30)]
+    current = spark.createDataFrame(rows + [(None, None, None, None, None, None, None, None, None, None)] + rows[:1], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, current, "")
+        assert out.columns == current.columns
+        path = str(tmp_path / stage.__name__)
+        out.write.parquet(path)
+        current = spark.read.parquet(path)
+    assert {(r.n_deleted, r.gone, r.row, r.copies, r.mark) for r in current.collect()} == {(5, 6, 7, 8, 9)}
+    assert all(r.n_chars == len(r.text) for r in current.collect())
+
+
+def test_scratch_folders(spark):
+    from eventlens.llm._shared import Scratch, shared_folder
+
+    scratch = Scratch(spark, "test")
+    kept = scratch.cut(spark.range(5))
+    other = scratch.cut(spark.range(7))
+    scratch.drop(other)
+    assert kept.count() == 5 and scratch.folder.startswith(shared_folder(spark))
+    files = spark._jvm.org.apache.hadoop.fs.Path(scratch.folder)
+    assert [x.getPath().getName() for x in files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)] == ["1"]
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    from eventlens.llm._shared import shared_folder
+
+    class Conf(dict):
+        get = dict.get
+
+    session = lambda **conf: type("Session", (), {"conf": Conf({k.replace("_", "."): v for k, v in conf.items()})})()
+    with pytest.raises(ValueError):
+        shared_folder(session(spark_master="yarn"))
+    assert shared_folder(session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session(spark_master="local[2]")).endswith("checkpoints")
