@@ -2,19 +2,18 @@
 
 Each stage takes what its predecessor kept and returns documents with their own columns;
 the last one returns pieces of sequences. Stages are written as Parquet and read again,
-in the shared folder of the session, so a lost executor costs at most one stage.
+in the shared folder of the session, so a lost executor costs at most one stage. A stage's
+rows are deleted once the next one has been written, the last ones when the driver ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import language, line_dedup, mixing, near_dedup, packing
-from eventlens.llm._shared import shared_folder, table
+from eventlens.llm._shared import delete, new_folder, table
 
 #: Percent of common shingles from which documents are near duplicates here; 85 is the contract of op9_near_dedup alone.
 NEAR_PERCENT = 80
@@ -34,9 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines deleted; documents with nothing left go."""
-    done = line_dedup.dedup_lines(docs)
-    left = done.where(~((F.col("n_deleted") > 0) & (F.col("text") == "")))
-    return _with_length(left.select(*docs.columns))
+    return _with_length(line_dedup.keep_text(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the table documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    folder, before = new_folder(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        delete(spark, *before)
+        before = [f"{folder}/{name}"]
     return STAGES[-1][1](spark, docs, sf_dir)
