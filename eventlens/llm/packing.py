@@ -17,10 +17,9 @@ empty table yields no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -40,6 +39,8 @@ BLOCK_IDS = 1 << 21
 STEP_IDS = 64 * 2048
 
 _MARKS = ".,;:!?*#$%&|"
+#: The last character up to which any two versions of Unicode agree on what a letter is.
+_SURE = "\u052f"
 _SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, tier int, step_group long"
@@ -82,57 +83,84 @@ class _Chunks:
         self.chunked = by_chunk(self.tokenizer)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     def rest(self) -> None:
         """Keep less between partitions: the worker may do other work next."""
         self.old = {}
         pa.default_memory_pool().release_unused()
 
-    def _encode(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
+    def _encode(self, piece: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4")
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece. Words are encoded together, and told apart by the ids that end one."""
+        words = [x for x in pieces if x.isalpha() and (x.isascii() or max(x) <= _SURE)]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = self._encode(" ".join(some))
+            after = np.flatnonzero(self.ends[ids]) + 1
+            if len(after) == len(some) and after[-1] == len(ids):
+                data, ends = ids.tobytes(), (4 * after).tolist()
+                found.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        for x in pieces:
+            if x not in found:
+                found[x] = self._encode(x).tobytes()
+        return found
 
-    def _kept(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            found = self._encode(piece)
-        if len(piece) <= 64:
-            if len(self.young) >= self.limit:
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, pieces))
+        new = [x for x, ids in zip(pieces, found, strict=True) if ids is None]
+        if new:
+            late = {x: self.old[x] for x in new if x in self.old}
+            late |= self._encoded([x for x in new if x not in late])
+            found = [late[x] if ids is None else ids for x, ids in zip(pieces, found, strict=True)]
+            short = {x: ids for x, ids in late.items() if len(x) <= 64}
+            if len(self.young) + len(short) > self.limit:
                 self.old, self.young = self.young, {}
-            self.young[piece] = found
+            self.young.update(itertools.islice(short.items(), self.limit))
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
-        core = chunk.rstrip(_MARKS)
-        # Up to Cyrillic, where any two versions of Unicode agree on what a letter is.
-        if not core.isalpha() or not core.isascii() and max(core) > "\u052f":
-            core = chunk
-        elif core.isascii():
-            core = core.lower()
-        word = self.young.get(core)
-        if word is None:
-            word = self._kept(core)
-        if len(core) == len(chunk):
-            return word
-        marks = chunk[len(core) :]
-        return word + (self.young.get(marks) or self._kept(marks))
-
     def ids(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text; each distinct chunk of them all is looked up once."""
+        """The ids of each text; each distinct word or run of marks of them all is looked up once."""
         if not self.chunked:
-            return list(map(self._encode, texts.to_pylist()))
+            return [self._encode(x).tobytes() for x in texts.to_pylist()]
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        known = list(map(self._chunk, coded.dictionary.to_pylist()))
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        first = np.cumsum(size) - size
-        chunk = coded.indices.to_numpy()
-        count = size[chunk]
-        after = np.concatenate([[0], np.cumsum(count)])
-        found = np.frombuffer(b"".join(known), np.uint32)[np.repeat(first[chunk] - after[:-1], count) + np.arange(after[-1])]
+        pieces = _halves(coded.dictionary).dictionary_encode()
+        known = self._known(pieces.dictionary.to_pylist())
+        data, size = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        # First the ids of each chunk, those of its two halves, then those of all chunks in order.
+        data, size = _gathered(data, size, pieces.indices.to_numpy())
+        size = size.reshape(-1, 2).sum(1)
+        data, size = _gathered(data, size, coded.indices.to_numpy())
+        after = np.concatenate([[0], np.cumsum(size)])
         ends = after[np.cumsum([0, *pc.list_value_length(lists).to_numpy()])] * 4
-        data = found.tobytes()
-        return [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        whole = data.tobytes()
+        return [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def _halves(chunks: pa.Array) -> pa.Array:
+    """Each chunk as a word and the plain marks after it, two strings; other chunks are whole, with an empty one."""
+    chunks = chunks.cast(pa.string())
+    cores = pc.utf8_rtrim(chunks, characters=_MARKS)
+    plain = pc.and_(pc.utf8_is_alpha(cores), pc.invert(pc.match_substring_regex(cores, f"[^\\x{{0}}-\\x{{{ord(_SURE):x}}}]"))).to_numpy(zero_copy_only=False)
+    begin = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1] if len(chunks) else np.zeros(1, np.int32)
+    offsets = np.empty(2 * len(chunks) + 1, np.int32)
+    offsets[::2] = begin
+    offsets[1::2] = np.where(plain, begin[:-1] + pc.binary_length(cores).to_numpy(), begin[1:])
+    halves = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), chunks.buffers()[2] if len(chunks) else pa.py_buffer(b""))
+    return pc.if_else(pa.array(np.repeat(plain, 2)), pc.ascii_lower(halves), halves)
+
+
+def _gathered(data: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``data``, which have these sizes, in the order of ``which``, and their sizes."""
+    first, count = (np.cumsum(size) - size)[which], size[which]
+    after = np.cumsum(count)
+    total = int(after[-1]) if len(after) else 0
+    return data[np.repeat(first - (after - count), count) + np.arange(total)], count
 
 
 _loaded: dict[str, _Chunks] = {}
