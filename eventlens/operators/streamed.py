@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,18 +167,41 @@ def large_next_node(
     df: DataFrame, key: list[str], direction: str | Direction, base: str | Base, ts: str, value: str, base_condition, *events,
     order_by: str | None = None, name: str = "node",
 ) -> DataFrame:
-    """``sequence_next_node`` by ``key`` for groups of any size. Backward searches run from the last event."""
+    """``sequence_next_node`` by ``key`` for groups of any size.
+
+    A single event is followed by a window over its group, all in the JVM. Chains are run
+    through in Arrow batches, backward searches from the last event.
+    """
     way, which = args.option(Direction, direction, "raise"), args.option(Base, base, "raise")
     steps, forward = args.conditions(events, 1), way is Direction.FORWARD
     fields = [mask(steps).alias("__mask"), args.truth(args.column(base_condition)).alias("__base"), args.column(value).cast("string").alias("__value")]
     extra = [F.col(order_by).alias("__order")] if order_by else []
     rows = df.select(*key, F.col(ts).alias("__ts"), *extra, *fields)
     order = [F.col(c) for c in ("__ts", *(["__order"] if order_by else []), "__mask", "__value", "__base")]
+    if len(steps) == 1:
+        return _one_step(rows, key, order, which, forward).withColumnRenamed("__node", name)
     dealt = rows.repartition(*key).sortWithinPartitions(*key, *[c.asc() if forward else c.desc() for c in order])
     n = len(steps)
     return _run(dealt, df, key, name, T.StringType(), lambda: NextNodeState(n, which, forward), ("__mask", "__base", "__value"))
 
 
+def _one_step(rows: DataFrame, key: list[str], order: list[Column], which: Base, forward: bool) -> DataFrame:
+    """The value next to the first or last start of each group, or to the first or last one that has a value next to it."""
+    line = Window.partitionBy(*key).orderBy(*order)
+    near = (F.lead if forward else F.lag)(F.struct("__ts", "__value")).over(line)
+    # Rows without a time come before all others, so they have numbers but are nobody's neighbours.
+    near = F.when(near["__ts"].isNotNull() & (F.col("__mask") != 0), near["__value"])
+    rows = rows.select(*key, "__ts", "__base", near.alias("__near"), F.row_number().over(line).alias("__at"))
+    starts = F.col("__ts").isNotNull() & F.col("__base")
+    if which in (Base.HEAD, Base.TAIL):
+        first = which is Base.HEAD
+    else:
+        starts, first = starts & F.col("__near").isNotNull(), forward == (which is Base.FIRST_MATCH)
+    pick = F.min_by if first else F.max_by
+    found = pick(F.struct("__near"), F.when(starts, F.col("__at")))["__near"]
+    return rows.groupBy(*key).agg(found.alias("__node"))
+
+
 def large_chain_count(df: DataFrame, key: list[str], pattern: str, ts: str, *conditions, order_by: str | None = None, name: str = "matches") -> DataFrame:
     """``sequence_count`` by ``key`` of a pattern of conditions with ``.*`` between any two, for groups of any size."""
     steps = P.parse(pattern)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import args
-from eventlens.functions import retention, sequence_count, sequence_match, sequence_match_events, sequence_next_node, window_funnel
+from eventlens.functions import retention, sequence_count, sequence_match, sequence_match_events, window_funnel
 from eventlens.operators.sessionize import sessionize
+from eventlens.operators.streamed import large_next_node
 
 Conditions = Sequence[args.ColumnLike]
 
@@ -124,8 +125,8 @@ def step_times(events: DataFrame, key: Sequence[str], pattern: str, ts: str, con
 
 
 def flow(events: DataFrame, key: Sequence[str], direction, base, ts: str, value: str, base_condition: args.ColumnLike, steps: Conditions, end: str = "(end)") -> DataFrame:
-    """Values next to a chain of events, how many users, and in per cent."""
-    found = events.groupBy(*key).agg(sequence_next_node(direction, base, ts, value, base_condition, *steps).alias("node"))
+    """Values next to a chain of events, how many users, and in per cent. No group is held in an array."""
+    found = large_next_node(events, list(key), direction, base, ts, value, base_condition, *steps)
     counted = found.groupBy(F.coalesce("node", F.lit(end)).alias("node")).agg(F.count("*").alias("users"))
     everyone = F.sum("users").over(Window.partitionBy(F.lit(0)))  # one row a value
     return counted.select("node", "users", _share(F.col("users"), everyone).alias("pct"))

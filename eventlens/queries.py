@@ -421,5 +421,6 @@ for _m in (Mode.STRICT_ORDER, Mode.STRICT_INCREASE, Mode.ALLOW_REENTRY):
 for _way in ("forward", "backward"):
     for _base in ("tail", "first_match"):
         _like = f"next_node_{_way}_{_base}_chain"
+        add(f"large_next_node_{_way}_{_base}", ORACLES[f"next_node_{_way}_{_base}"], lambda e, w=_way, b=_base: large_next_node(e, ["user_id"], w, b, "ts", _PROPS, _BASE, BUY))
         add(f"large_{_like}", ORACLES[_like], lambda e, w=_way, b=_base: large_next_node(e, ["user_id"], w, b, "ts", _PROPS, _BASE, BUY, VIEW, ERROR))
 add("large_chain_count", CODED + "SELECT user_id, CAST(len(regexp_extract_all(code, 'v.*?c.*?p')) AS BIGINT) AS matches FROM t", lambda e: large_chain_count(e, ["user_id"], "(?1).*(?2).*(?3)", "ts", *STEPS))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import eventlens as E
-from eventlens.operators import large_chain_count, large_funnel
+from eventlens.operators import large_chain_count, large_funnel, large_next_node
 from eventlens.plans.sqlfront import SqlError, rewrite, sql
 from eventlens.sources import read_events, write_bucketed, write_result
 from eventlens.streaming.sessions import funnel_progress, session_totals
@@ -37,6 +37,22 @@ def test_large_funnel_agrees(events, once):
     assert rows(own) == rows(held) and dict(own.dtypes)["step"] == "int"
 
 
+@pytest.mark.parametrize("mode", ["strict", "strict_order", "strict_increase", "allow_reentry,timestamp_dedup"])
+def test_large_funnel_modes_agree(events, mode):
+    own = large_funnel(events, ["user_id"], "5 hours", "ts", VIEW, CLICK, BUY, mode=mode)
+    assert rows(own) == rows(events.groupBy("user_id").agg(E.window_funnel("5 hours", "ts", VIEW, CLICK, BUY, mode=mode)))
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_large_next_node_agrees(events, direction):
+    value = "nullif(kind, 'x')"
+    for base in ("head", "tail", "first_match", "last_match"):
+        for steps in ([VIEW], [VIEW, CLICK, BUY]):
+            own = large_next_node(events, ["user_id"], direction, base, "ts", value, "n % 3 <> 0", *steps, name="x")
+            held = events.groupBy("user_id").agg(E.sequence_next_node(direction, base, "ts", value, "n % 3 <> 0", *steps).alias("x"))
+            assert rows(own) == rows(held) and own.columns == held.columns, (base, len(steps))
+
+
 def test_large_chain_count_agrees(events):
     own = large_chain_count(events, ["user_id"], "(?1).*(?3)", "ts", VIEW, CLICK, BUY)
     assert rows(own) == rows(events.groupBy("user_id").agg(E.sequence_count("(?1).*(?3)", "ts", VIEW, CLICK, BUY)))
