@@ -16,14 +16,19 @@ import eventlens as E
 from eventlens.args import Mode
 from eventlens.operators.streamed import large_chain_count, large_funnel, large_next_node
 from eventlens.plans import recipes as R
+from eventlens.sources import read_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Columns of the table, so that no job is run to infer them.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return read_events(spark, f"{sf_dir}/events.parquet", schema=EVENTS)
 
 
 def add(name: str, sql: str, query: Callable[[DataFrame], DataFrame]) -> None:
