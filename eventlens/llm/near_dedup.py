@@ -271,7 +271,19 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             up = above.select(F.col("v").alias("c"), "up")
             names = scratch.cut(names.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
         edges = moved
-    return names if names is not None else links.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    return names if names is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
+
+
+def with_links(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``names`` after further links: only the components that these connect are looked at."""
+    if links.isEmpty():
+        return names
+    of = lambda end: names.select(F.col("v").alias(end), F.col("c").alias(f"of_{end}"))
+    roots = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    up = components(roots.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), scratch)
+    moved = names.join(up.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left")
+    new = up.join(names.select("v"), "v", "left_anti")
+    return scratch.cut(moved.select("v", F.coalesce("root", "c").alias("c")).unionByName(new.select("v", "c")))
 
 
 def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -296,13 +308,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
     texts = texts.join(cut(near.distinct()), "v", "left_semi").groupBy("v", F.xxhash64("text").alias("mark")).agg(F.min("text").alias("text"))
     texts = cut(texts.select("v", "text", F.octet_length("text").cast("long").alias("bytes")))
     closest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = cut(confirm(closest, texts, percent))
-    names = components(links, scratch)
-    links = cut(links.unionByName(confirm(cut(_apart(pairs, names)), texts, percent)))
-    names = components(links, scratch)
-    rest = cut(_residual(stops, names, texts, percent, scratch))
-    if not rest.isEmpty():
-        names = components(links.unionByName(rest), scratch)
+    names = components(confirm(closest, texts, percent), scratch)
+    names = with_links(names, cut(confirm(cut(_apart(pairs, names)), texts, percent)), scratch)
+    names = with_links(names, cut(_residual(stops, names, texts, percent, scratch)), scratch)
     of_key = vertices.select("key", "v").join(names, "v", "left").select("key", F.coalesce("c", "v").alias("c"))
     rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"))
     joined = rows.join(cut(of_key), "key", "left").withColumn("c", F.coalesce("c", "doc_id"))
