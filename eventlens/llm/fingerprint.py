@@ -7,7 +7,8 @@ containment and the number of distinct shingles.
 Defined cases: a null text is the empty text, whose sketch is empty; two empty sketches
 resemble each other fully, an empty and another one not at all. A text of fewer than
 five words has one shingle. Rows are ordered by ``doc_id`` with nulls first, rows of one
-id by text. Extra columns are ignored; an empty table yields no rows.
+id by text; rows of one id, and those without one, are in one range, which one task sorts
+with spilling and streams. Extra columns are ignored; an empty table yields no rows.
 """
 
 from __future__ import annotations
