@@ -19,7 +19,8 @@ short or long their lines are, whichever documents hold their parts first.
 All is DataFrame expressions. Repeated fingerprints and first places are found by
 aggregates that are added up before their shuffle, and the joins with places have one row
 a fingerprint or window on that side, so a passage of a third of all documents splits into
-as many tasks as it needs.
+as many tasks as it needs. These sides grow with the documents, so none is broadcast,
+whatever the size.
 
 Defined cases: null and empty texts stay as they are; documents are ordered by id, nulls
 first, then by text hash; rows of one id and one text are one document and get the same
@@ -91,11 +92,11 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeats(found: DataFrame, scratch: Scratch) -> DataFrame:
     """``key, lo, hi``: the places of windows but for their first ones."""
     again = scratch.cut(found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
-    near = scratch.cut(found.join(again, "print").select("key", F.explode("windows").alias("x")).select("key", "x.*"))
+    near = scratch.cut(found.join(again.hint("merge"), "print").select("key", F.explode("windows").alias("x")).select("key", "x.*"))
     first = F.min(F.struct("key", "lo")).alias("first")
     firsts = scratch.cut(near.groupBy("whole").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
     later = (F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))
-    return near.join(firsts, "whole").where(later).select("key", "lo", "hi")
+    return near.join(firsts.hint("merge"), "whole").where(later).select("key", "lo", "hi")
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     found = runs(repeats(scratch.cut(fingerprints(keyed, min_words)), scratch))
     # A run of one document is deleted by intervals, as many as its lines at most.
     gone = scratch.cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("key", "of"))
-    joined = keyed.join(gone, F.col("key").eqNullSafe(F.col("of")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("key").eqNullSafe(F.col("of")), "left")
     kept = F.filter(_lines("text"), lambda x, i: ~F.exists("gone", lambda g: i.between(g["lo"], g["hi"])))
     joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
