@@ -920,9 +920,9 @@ def test_templates_fall_apart(spark):
     """Pages that share most of a template, but not enough to be linked, end in small nodes, and none is linked."""
     rnd = random.Random(37)
     frame_words = invented(rnd, 90)
-    rows = [(k, frame_words + " " + invented(rnd, 35), "", "") for k in range(400)] + [(400 + k, frame_words + " " + invented(random.Random(5), 35 - k), "", "") for k in range(3)]
+    rows = [(k, frame_words + " " + invented(rnd, 35), "", "") for k in range(200)] + [(200 + k, frame_words + " " + invented(random.Random(5), 35 - k), "", "") for k in range(3)]
     got = {r.doc_id: r.component_id for r in near_dedup.link_documents(frame(spark, rows)).collect()}
-    assert got == {k: min(k, 400) for k in range(403)}
+    assert got == {k: min(k, 200) for k in range(203)}
 
 
 def test_pipeline_of_nothing_and_of_odd_columns(spark, tmp_path):
