@@ -131,7 +131,7 @@ _ROW = "node long, used long, v long, n long, b0 long, b1 long"
 
 
 def _branch(trees: int):
-    """Rows of the next level; of the first, for rows without a node."""
+    """Rows of the next level, for vertices with the nodes ``at`` which they are; of the first, for those without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,14 +140,16 @@ def _branch(trees: int):
                 if not batch.num_rows:
                     continue
                 least = np.frombuffer(b"".join(batch.column("least").to_pylist()), np.uint32).reshape(-1, BRANCHED)
-                if "node" in batch.schema.names:
-                    starts = [(batch.column("node").to_numpy().view(np.uint64), batch.column("used").to_numpy().view(np.uint64))]
+                if "at" in batch.schema.names:
+                    each = np.repeat(np.arange(len(least)), batch.column("at").value_lengths().to_numpy())
+                    nodes, ways = (x.to_numpy().view(np.uint64) for x in batch.column("at").flatten().flatten())
+                    starts = ((each[k : k + 2048], nodes[k : k + 2048], ways[k : k + 2048]) for k in range(0, len(each), 2048))
                 else:
-                    none = np.zeros(len(least), np.uint64)
-                    starts = [(none + mix(np.array([t + 1], np.uint64)), none) for t in range(trees)]
-                for node, used in starts:
-                    row, child, done = children(node, used, least)
-                    taken = pa.array(row)
+                    each, none = np.arange(len(least)), np.zeros(len(least), np.uint64)
+                    starts = ((each, none + mix(np.array([t + 1], np.uint64)), none) for t in range(trees))
+                for own, node, used in starts:
+                    row, child, done = children(node, used, least[own])
+                    taken = pa.array(own[row])
                     names = ("v", "n", "b0", "b1")
                     yield pa.RecordBatch.from_pydict(
                         {"node": child.view(np.int64), "used": done.view(np.int64)} | {x: batch.column(x).take(taken) for x in names}
@@ -204,10 +206,12 @@ def candidates(
         near = large.where(F.lit(last) | (F.col("far") <= most_from_pivot(percent)))
         stopped = F.lit(last) | (F.col("far") <= STOP) & (F.col("x.v") != F.col("y.v"))  # the pivot has met all
         dense.append(near.select(F.col("y.v").alias("pivot"), "x.v", stopped.alias("stopped")))
-        on = large.where(F.col("far") > STOP).select("node", "used", "x.v")
+        on = large.where(F.col("far") > STOP)
         if last or on.isEmpty():
             break
-        rows = scratch.cut(on.join(vertices, "v").mapInArrow(_branch(trees), _ROW))
+        # A vertex meets its minima once, however many nodes it is in; bits tell the texts of one id apart.
+        on = on.groupBy("x.v", "x.b0", "x.b1").agg(F.collect_set(F.struct("node", "used")).alias("at"))
+        rows = scratch.cut(on.join(vertices, ["v", "b0", "b1"]).mapInArrow(_branch(trees), _ROW))
     found, stops = pairs[0], dense[0]
     for x in pairs[1:]:
         found = found.unionByName(x)
@@ -347,8 +351,10 @@ def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int
     What is outside the largest component near the pivot meets all that is near it, in a
     grid of blocks of bounded size. Of the links between two components one is enough.
     """
+    # A vertex meets its name, size and text once, however many pivots it is near.
     weight = texts.groupBy("v").agg(F.sum("bytes").alias("bytes"))
-    named = scratch.cut(stops.join(names, "v", "left").join(weight, "v").withColumn("c", F.coalesce("c", "v")))
+    every = stops.groupBy("v").agg(F.collect_set("pivot").alias("pivots")).join(names, "v", "left").join(weight, "v")
+    named = scratch.cut(every.select(F.explode("pivots").alias("pivot"), "v", F.coalesce("c", "v").alias("c"), "bytes"))
     main = named.groupBy("pivot", "c").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).groupBy("pivot")
     main = main.agg(F.max(F.struct("count", "c", "bytes")).alias("m"), F.sum("count").alias("near"), F.sum("bytes").alias("bytes"))
     blocks = lambda n, rows, size: F.ceil(F.greatest(n / rows, size / BLOCK_BYTES)).cast("int")
@@ -356,7 +362,9 @@ def _residual(stops: DataFrame, names: DataFrame, texts: DataFrame, percent: int
         "pivot", F.col("m.c").alias("main"), blocks(F.col("near"), BLOCK_NEAR, F.col("bytes")).alias("across"),
         blocks(F.col("near") - F.col("m.count"), BLOCK_OUT, F.col("bytes") - F.col("m.bytes")).alias("down"),
     )
-    named = named.drop("bytes").join(scratch.cut(main.where("down > 0")), "pivot").join(texts.drop("bytes"), "v")
+    told = named.join(scratch.cut(main.where("down > 0")), "pivot").groupBy("v", "c")
+    told = told.agg(F.collect_list(F.struct("pivot", "main", "across", "down")).alias("told"))
+    named = told.join(texts.drop("bytes"), "v").select("v", "c", "text", F.inline("told"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     out = named.where("c <> main").select("pivot", own("down").alias("i"), each("across").alias("j"), "v", "c", "text")

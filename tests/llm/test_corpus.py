@@ -916,6 +916,56 @@ def test_near_duplicates_of_one_id_with_two_texts(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def edited(rnd, words):
+    """A copy of ``words`` with up to a fifth of them changed, as a text."""
+    share = rnd.random() / 5
+    return " ".join(f"x{rnd.getrandbits(40)}" if rnd.random() < share else w for w in words)
+
+
+def test_near_copies_meet_minima_and_texts_once(spark, monkeypatch):
+    """Joins by vertex make at most a row a vertex, however many nodes and pivots it is at."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rnd = random.Random(41)
+    words = invented(rnd, 150).split()
+    every = {k: edited(rnd, words) for k in range(120)}
+    made, join = [], DataFrame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if how is None and on in ("v", ["v", "b0", "b1"]):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link_documents(frame(spark, every.items(), "doc_id long, text string", False), leaf=24).collect()}
+    assert got == components(every) and len({c for _, c in got.values()}) < len(every)
+    assert len(made) > 3 and 50 < max(made) <= len(every)
+
+
+def test_versions_of_one_id_do_not_multiply(spark, monkeypatch):
+    """Several texts of one id stand in a node once each."""
+    rnd = random.Random(42)
+    words = invented(rnd, 150).split()
+    rows = [(k % 20, edited(rnd, words)) for k in range(60)]
+    made, cut = [], near_dedup.Scratch.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        if out.columns == ["node", "used", "v", "n", "b0", "b1"]:
+            made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "cut", counted)
+    got = {(r.doc_id, r.component_id) for r in near_dedup.link_documents(frame(spark, rows, "doc_id long, text string", False), leaf=24, depth=3).collect()}
+    names = {k: k for k in range(20)}
+    for k, (_, root) in components({k: t for k, (_, t) in enumerate(rows)}).items():
+        x, y = sorted((names[k % 20], names[root % 20]))
+        names = {d: x if c == y else c for d, c in names.items()}
+    assert got == set(names.items()) and 1 < len(set(names.values())) < 20
+    assert made and all(a == b for a, b in made)
+
+
 def test_templates_fall_apart(spark):
     """Pages that share most of a template, but not enough to be linked, end in small nodes, and none is linked."""
     rnd = random.Random(37)
